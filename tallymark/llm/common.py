@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space of every contract, as a Java and Python character class body.
@@ -86,3 +86,14 @@ def group_bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             change[1:] |= v[1:] != v[:-1]
     starts = np.flatnonzero(change)
     return starts, np.append(starts[1:], len(change))
+
+
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``_rank`` from 0 in the order given: rows are range-sorted, and a table with a row per range says where each begins."""
+    s = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    parts = s.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as there are ranges
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    parts = F.broadcast(parts.select("_range", before.alias("_before")))
+    low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return s.withColumn("_range", F.shiftright("_at", 33)).join(parts, "_range").withColumn("_rank", F.col("_before") + low).drop("_range", "_before", "_at")

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kd_shards, url_rules
+from . import exact_dedup, kd_shards, mixing, neighbours, packing, quality_votes, secret_scan, simhash, toxicity, url_rules
 from .common import read_table
 
+#: The tokenizer file of op9 and of the pipeline; a path that every executor has.
+TOKENIZER = "byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The rules of the url contract.
@@ -26,13 +29,54 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_rules.match_urls(read_table(spark, sf_dir, "pages"), url_rules.rule_frame(spark, URL_RULES))
     return out.withColumnRenamed("id", "page_id")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(table, F.col("vec_id") % 50 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_votes.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op4_url_rules": op4_url_rules}
+    every = (op1_exact_dedup, op2_kd_shards, op3_cube_mix, op4_url_rules, op5_secret_scan, op6_prefix_forest, op7_toxicity_pu, op8_simhash_bk, op9_hilbert_pack, op10_quality_votes)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
