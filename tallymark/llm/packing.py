@@ -8,6 +8,7 @@ ones is full, and what is left at a range's end is cut into powers of two, which
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -19,36 +20,31 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, text_or_empty
 
 AXES, BITS = 3, 10
-LANE = 40
-MEMORY = 300_000
-#: A single space between characters that are not white space: no token spans it, and it belongs to the word after it.
-SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-IRREGULAR = re.compile(r"\s\s|^\s|\s$")
-
-
-class Projection(dict):
-    """Word to its three signs, in lanes of one integer: sums of words are sums of lanes."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        h = zlib.crc32(word)
-        out = self[word] = sum(2 * (h >> (7 * a + 3) & 1) << LANE * a for a in range(AXES))
-        return out
-
-
-def project(text: bytes, signs: Projection) -> list[int]:
+#: Bits of a word's hash that are its signs.
+SIGN_BITS = (3, 10, 17)
+# Fixed value: how byte-level BPE cuts a text before merging.
+BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Anything but printable Latin text and its usual white space.
+NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7E\u00A1-\u024F]")
+#: The same of Latin-1 texts.
+PLAIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+LONG_RUN = 4000
+PROBE = "It's 12 o'clock,\n\n  isn't it?\tAieê ñandú  Übergröße... (x_1) we'll  "
+
+
+def project(text: bytes) -> list[int]:
     """Coordinates of a text, 0 to 2**BITS - 1 on each axis: the standardised sum of its words' signs through the normal distribution."""
     words = text.lower().split()
     n = len(words)
     if not n:
         return [0] * AXES
-    total = sum(map(signs.__getitem__, words))
-    sums = [((total >> LANE * a) & ((1 << LANE) - 1)) - n for a in range(AXES)]
+    h = np.fromiter(map(zlib.crc32, words), np.uint32, n)
+    sums = [2 * int(np.count_nonzero(h & np.uint32(1 << bit))) - n for bit in SIGN_BITS]
     return [min((1 << BITS) - 1, int(0.5 * math.erfc(-s / math.sqrt(2 * n)) * (1 << BITS))) for s in sums]
 
 
@@ -75,38 +71,81 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def _keys(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    signs = Projection()
-    for batch in batches(rows):
-        points = np.array([project(t, signs) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, AXES)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(hilbert(points))], ["id", "text", "key"])
+@F.arrow_udf(T.LongType())
+def curve_key(texts: pa.Array) -> pa.Array:
+    """Place of each text on the curve; the text itself stays in the JVM."""
+    points = np.array([project(t) for t in texts.to_pylist()], np.int64).reshape(-1, AXES)
+    return pa.array(hilbert(points))
+
+
+def _bytes_of(token: str, char_bytes: dict[str, int]) -> bytes:
+    return bytes(char_bytes[c] for c in token)
+
+
+def _byte_characters() -> dict[str, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others as the characters from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    moved = [b for b in range(256) if b not in kept]
+    return {chr(b): b for b in kept} | {chr(0x100 + i): b for i, b in enumerate(moved)}
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file, four bytes each. Words are encoded once and remembered.
+    """Ids of whole texts by a tokenizer file of the tokenizers library, four bytes each.
 
-    The pre-tokenizer never puts a lone inner space and the character before it into one piece,
-    so a text is the concatenation of its words, each with the space before it. Texts with other
-    white space next to a space are cut at the safe spaces only.
+    A byte-level BPE file is also read into a tiktoken encoding, which gives the same ids
+    several times as fast; it takes the texts of PLAIN characters, on which both libraries'
+    character classes agree and which hold no special token. All others, and files of another
+    kind, go through the tokenizers library itself.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._fast()
+
+    def _fast(self) -> object | None:
+        """The tiktoken twin: a byte-level vocabulary's ids are its merge ranks. None if the file is of another kind."""
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
+            return None
+        import tiktoken
+
+        char_bytes = _byte_characters()
+        ranks = {_bytes_of(t, char_bytes): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        twin = tiktoken.Encoding("twin", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        same = twin.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids
+        return twin if same else None
+
+    def plain(self, text: str) -> bool:
+        """Whether the twin may take a text; runs of thousands of characters without a break are left to the library, which merges them faster."""
+        try:
+            odd = text.encode("latin-1").translate(None, PLAIN_BYTES)
+        except UnicodeEncodeError:
+            odd = NOT_PLAIN.search(text)
+        if odd or any(s in text for s in self.special):
+            return False
+        return len(text) < LONG_RUN or (max(map(len, text.split(" "))) < LONG_RUN and " " * LONG_RUN not in text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [SAFE_SPACE.split(t) if IRREGULAR.search(t) else t.split(" ") for t in texts]
-        first = [c[0] for c in cut]
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        memory = self.memory
-        new = list(set().union(*[c[1:] for c in cut]) - memory.keys())
-        codes = self.tokenizer.encode_batch_fast([*first, *[" " + w for w in new]], add_special_tokens=False)
-        codes = [np.array(c.ids, "<u4").tobytes() for c in codes]
-        memory.update(zip(new, codes[len(first) :], strict=True))
-        return [head + b"".join(map(memory.__getitem__, c[1:])) for head, c in zip(codes, cut, strict=False)]
+        out: list[bytes | None] = [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() if self.fast is not None and self.plain(t) else None for t in texts]
+        rest = [i for i, c in enumerate(out) if c is None]
+        for i, code in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(code.ids, "<u4").tobytes()
+        return out
+
+
+#: A Python worker's encoders outlive its tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(total: int, at: int, width: int) -> Iterator[tuple[int, int]]:
@@ -122,7 +161,7 @@ def packer(path: str, width: int, end: int):
     """Packs a partition: full sequences are written as they fill up, the open one at the end as powers of two."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stop = Encoder(path), np.array([end], "<u4").tobytes()
+        encoder, stop = encoder_of(path), np.array([end], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         kind = None
         open_: list[tuple] = []  # id, start, ids, total
@@ -194,6 +233,6 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end: int = 0, doc_i
     if width & (width - 1):
         raise ValueError("the width of a sequence must be a power of two")
     kind = docs.schema[doc_id].dataType.simpleString()
-    keyed = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).cast("binary").alias("text")).mapInArrow(_keys, f"id {kind}, text binary, key long")
-    ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("id", F.col("text").cast("string").alias("text"))
+    keyed = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).withColumn("key", curve_key(F.col("text").cast("binary")))
+    ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("id", "text")
     return ordered.mapInArrow(packer(tokenizer, width, end), f"id {kind}, " + ", ".join(f"{c} long" for c in NAMES[1:]))
