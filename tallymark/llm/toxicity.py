@@ -8,6 +8,8 @@ taken off, and never below zero (Kiryo and others, 2017).
 
 from __future__ import annotations
 
+import math
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -21,16 +23,21 @@ from .common import batches, fold, save, text_or_empty
 #: Bounds of the training sample and of the model.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 2048
 SPACE = 1 << 20
+#: The largest deviation that chance alone gives among so many pieces, in standard deviations.
+CHANCE = math.sqrt(2 * math.log(SPACE))
 #: Words a worker remembers.
 MEMORY = 300_000
 
 
 def pieces(word: str) -> set[int]:
-    """The word and its pieces of four to six characters, as numbers below SPACE."""
-    w = f"<{word}>"
-    out = {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)} if len(w) <= 64 else {w[i : i + 5] for i in range(len(w) - 4)}
-    out.add(w)
-    return {zlib.crc32(x.encode()) & (SPACE - 1) for x in out}
+    """The word and its pieces of four to seven bytes, as numbers below SPACE."""
+    w, crc = f"<{word}>".encode(), zlib.crc32
+    n = len(w)
+    if n > 128:
+        return {crc(w[i : i + 6]) & (SPACE - 1) for i in range(n - 5)}
+    out = {crc(w[i : i + k]) & (SPACE - 1) for k in (4, 5, 6, 7) for i in range(n - k + 1)}
+    out.add(crc(w) & (SPACE - 1))
+    return out
 
 
 def words(text: str) -> set[str]:
@@ -56,23 +63,36 @@ def _frequencies(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[0, part], pa.int32()), pa.array(counts[1, part], pa.int32())], ["piece", "p", "u"])
 
 
+class Memory(dict):
+    """Word to its chosen pieces; forgets all when it is full."""
+
+    def __init__(self, chosen: dict[int, int]):
+        super().__init__()
+        self.chosen = chosen
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= MEMORY:
+            self.clear()
+        chosen = self.chosen
+        out = self[word] = tuple(chosen[p] for p in pieces(word) if p in chosen)
+        return out
+
+
+#: A Python worker's memories outlive its tasks: those of the latest scorer.
+_MEMORIES: dict[str, Memory] = {}
+
+
 class Scorer:
     """Document features: which of the chosen pieces it holds."""
 
     def __init__(self, chosen: dict[int, int], weights: np.ndarray | None = None, bias: float = 0.0):
-        self.chosen, self.weights, self.bias, self.memory = chosen, weights, bias, {}
+        self.chosen, self.weights, self.bias, self.name = chosen, weights, bias, uuid.uuid4().hex
 
     def features(self, text: str) -> set[int]:
-        memory, chosen, out = self.memory, self.chosen, set()
-        for w in words(text):
-            f = memory.get(w)
-            if f is None:
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                f = memory[w] = tuple(chosen[p] for p in pieces(w) if p in chosen)
-            if f:
-                out.update(f)
-        return out
+        if self.name not in _MEMORIES:
+            _MEMORIES.clear()
+            _MEMORIES[self.name] = Memory(self.chosen)
+        return set().union(*map(_MEMORIES[self.name].__getitem__, words(text)))
 
     def score(self, text: str) -> float:
         z = self.bias + float(self.weights[list(self.features(text))].sum())
@@ -113,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     positive = by_hash(known.where("y = 1").select(doc_id)).limit(MAX_POSITIVE).withColumn("positive", F.lit(True))
     plain = by_hash(open_rows(docs.select(docs[doc_id]), doc_id)).limit(MAX_UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(positive.unionByName(plain))  # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    sample = save(docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).join(chosen, F.col("id") == F.col(doc_id)).select("text", "positive"), "sample")
+    sample = save(docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).join(chosen, F.col("id") == F.col(doc_id)).select("text", "positive").distinct(), "sample")
     n = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = n.get(True, 0), n.get(False, 0)
     if not n_p or not n_u:
@@ -121,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     counts = sample.mapInArrow(_frequencies, "piece int, p int, u int").groupBy("piece").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b = F.col("p") / n_p, F.col("u") / n_u
     z = (a - b) / F.sqrt((F.col("p") + F.col("u") + 1) / (n_p + n_u) * (1 / n_p + 1 / n_u))
-    best = counts.withColumn("z", z).where((a > 3 * b) & (F.col("p") >= 3) & (F.col("z") > 3)).orderBy(F.desc("z"), "piece").limit(MAX_FEATURES).collect()
+    best = counts.withColumn("z", z).where((a > 3 * b) & (F.col("p") >= 3) & (F.col("z") > CHANCE)).orderBy(F.desc("z"), "piece").limit(MAX_FEATURES).collect()
     if not best:
         return None
     scorer = Scorer({r["piece"]: i for i, r in enumerate(best)})
