@@ -47,7 +47,11 @@ class Shapes(dict):
         return out
 
 
-def term_vector(text: str, shapes: Shapes) -> np.ndarray:
+#: A Python worker's shapes outlive its tasks.
+_SHAPES = Shapes()
+
+
+def term_vector(text: str, shapes: Shapes = _SHAPES) -> np.ndarray:
     words = text.split()
     out = np.zeros(TERMS, np.float32)
     if not words:
@@ -100,9 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     sample = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).join(chosen, F.col("id") == F.col(doc_id)).select("id", "text", "y")
 
     def vectors(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
         for batch in batches(rows, 256):
-            x = [term_vector(t, shapes) for t in batch.column("text").to_pylist()]
+            x = [term_vector(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "v"])
 
     kinds = {f.name: f.dataType.simpleString() for f in sample.schema}
@@ -126,9 +129,8 @@ def _scored(docs: DataFrame, voters: Voters | None, text: str, name: str) -> Dat
         return docs.withColumn(name, F.lit(0.5))
 
     def score(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
         for batch in batches(rows, 1024):
-            x = np.stack([term_vector(t or "", shapes) for t in batch.column(text).to_pylist()])
+            x = np.stack([term_vector(t or "") for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(voters.score(x).astype(np.float64))], [*batch.schema.names, name])
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
