@@ -509,7 +509,8 @@ def _(spark, d):
 
 
 @query("line_by_line_dates", f"""WITH s AS (SELECT id, odate FROM ({oracle.side('orders_dates_s')}) AS x), t AS (SELECT id, odate FROM ({oracle.side('orders_dates_t')}) AS x)
-    SELECT CAST(id AS BIGINT) AS n, 'parse_error' AS problem, s.odate AS source_value, t.odate AS target_value FROM s JOIN t USING (id) WHERE try_strptime(t.odate, '%m/%d/%Y') IS NULL""")
+    SELECT CAST(id AS BIGINT) AS n, CASE WHEN try_strptime(t.odate, '%m/%d/%Y') IS NULL THEN 'parse_error' ELSE 'value_mismatch' END AS problem, s.odate AS source_value, t.odate AS target_value
+    FROM s JOIN t USING (id) WHERE try_strptime(t.odate, '%m/%d/%Y')::DATE IS DISTINCT FROM CAST(s.odate AS DATE)""")
 def _(spark, d):
     side = lambda n: load(spark, d, n).select(F.col("id").cast("long").alias("n"), F.col("odate").alias("line"))
     return fixed_width.line_by_line(side("orders_dates_s"), side("orders_dates_t"), (0, 10, "YYYY-MM-DD"), (0, 10, "MM/DD/YYYY"))

@@ -60,7 +60,7 @@ _define("orders_t", """
            CASE WHEN n % 13 = 0 THEN '  ' || priority || ' ' ELSE priority END AS priority FROM {orders_s} AS s WHERE n % 97 <> 0
     UNION ALL SELECT CAST(n + 100000000 AS STRING), n + 100000000, status, price, odate, priority FROM {orders_s} AS s WHERE n % 89 = 0""")
 _define("orders_dates_s", "SELECT CAST(o_orderkey AS STRING) AS id, CAST(CAST(o_orderdate AS DATE) AS STRING) AS odate FROM {orders}")
-_define("orders_dates_t", f"SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 5 = 0 THEN {_dmy('o_orderdate', '.')} ELSE {_mdy('o_orderdate')} END AS odate FROM {{orders}}")
+_define("orders_dates_t", f"SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 5 = 0 THEN {_dmy('o_orderdate', '.')} WHEN o_orderkey % 50 = 1 THEN {_mdy("(o_orderdate + INTERVAL '1' DAY)")} ELSE {_mdy('o_orderdate')} END AS odate FROM {{orders}}")
 _define("customer_s", f"SELECT CAST(c_custkey AS STRING) AS id, c_custkey AS n, c_name AS name, {_money('c_acctbal')} AS balance, c_mktsegment AS segment FROM {{customer}}")
 _define("customer_t", """
     SELECT id, n, CASE WHEN n % 10 = 0 THEN name || '!' ELSE name END AS name, balance, CASE WHEN n % 15 = 0 THEN lower(segment) ELSE segment END AS segment FROM {customer_s} AS s WHERE n % 50 <> 0
@@ -74,7 +74,7 @@ _define("customer_null_t", "SELECT CASE WHEN n % 9 = 0 THEN 'n/a' WHEN n % 9 = 1
 _define("keys_null_s", "SELECT CASE WHEN s_suppkey = 1 THEN CAST(NULL AS STRING) ELSE CAST(s_suppkey AS STRING) END AS id, s_name AS name FROM {supplier}")
 _define("keys_null_t", "SELECT CASE WHEN s_suppkey = 1 THEN ' na ' ELSE ' ' || CAST(s_suppkey AS STRING) END AS id, s_name AS name FROM {supplier} WHERE s_suppkey % 10 <> 3")
 _define("phones_s", "SELECT CAST(s_suppkey AS STRING) AS id, '+91-' || lpad(CAST(s_suppkey AS STRING), 5, '9') || '-' || lpad(CAST(s_suppkey AS STRING), 5, '8') AS phone, 'SUP-' || CAST(s_suppkey AS STRING) AS code FROM {supplier}")
-_define("phones_t", "SELECT CAST(s_suppkey AS STRING) AS id, '91' || lpad(CAST(s_suppkey AS STRING), 5, '9') || CASE WHEN s_suppkey % 6 = 0 THEN '00000' ELSE lpad(CAST(s_suppkey AS STRING), 5, '8') END AS phone, CASE WHEN s_suppkey % 4 = 0 THEN 'X' ELSE '' END || CAST(s_suppkey AS STRING) AS code FROM {supplier}")
+_define("phones_t", "SELECT CAST(s_suppkey AS STRING) AS id, '91' || lpad(CAST(s_suppkey AS STRING), 5, '9') || CASE WHEN s_suppkey % 6 = 0 THEN '00000' ELSE lpad(CAST(s_suppkey AS STRING), 5, '8') END AS phone, CASE WHEN s_suppkey % 4 = 0 THEN 'X' ELSE '' END || CAST(s_suppkey AS STRING) || CASE WHEN s_suppkey % 9 = 0 THEN '0' ELSE '' END AS code FROM {supplier}")
 _define("turns_s", "SELECT CAST(conv_id AS STRING) AS conv, CAST(turn AS STRING) AS turn, role, md5(text) AS hash, conv_id AS c, turn AS t FROM {conversations}")
 _define("turns_t", "SELECT conv, turn, CASE WHEN c % 8 = 0 AND t = 1 THEN 'changed' ELSE role END AS role, hash, c, t FROM {turns_s} AS s WHERE NOT (c % 9 = 0 AND t = 0)")
 _define("lines_s", f"SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id, l_partkey AS p, {_money('l_quantity')} AS qty, l_returnflag AS flag FROM {{lineitem}}")

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.mapping import ColumnMapping, key_columns, resolve_fields
 from ..functions.structured import looks_structured
@@ -87,7 +88,9 @@ def resolve(spark: SparkSession, request: Request) -> str:
 def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt: str, delimiter: str | None) -> DataFrame:
     if fmt == "csv":
         lines = readers.first_lines(spark, path)[request.header_leading_rows :]
-        header = request.has_header if request.has_header is not None else sniff.has_header(readers.split_line(lines[0], delimiter)) if lines else True
+        if not lines:
+            return spark.createDataFrame([], T.StructType([]))
+        header = request.has_header if request.has_header is not None else sniff.has_header(readers.split_line(lines[0], delimiter))
         df = readers.read_delimited(spark, path, delimiter, header, skip_rows=request.header_leading_rows)
     else:
         df = readers.as_text(readers.read_columnar(spark, path, fmt))

@@ -225,12 +225,13 @@ def detect(name: str, content: bytes, hint: str | None = None) -> Report:
     family = {"tsv": "csv", "psv": "csv"}.get(best, best)
     if ext.confidence >= 30 and ext.type != family and sure >= 70:
         warnings.append(f"the name suggests {ext.type}, the content {best}")
+    coded = s["encoding"].metadata.get("hint") and best not in COMPRESSIONS | COLUMNAR | CONTAINERS | {"json"}
+    if coded:
+        return Report(name, s, Stage("transcode_first", s["encoding"].confidence), None, tuple(warnings))
     if sure < 50 and not (family == "csv" and ext.confidence >= 35 and kind.type == "text"):
         return Report(name, s, Stage("unknown", sure), None, tuple(warnings))
     if best in COMPRESSIONS:
         return Report(name, s, Stage("decompress_first", sure), None, tuple(warnings))
-    if s["encoding"].metadata.get("hint") and best not in COLUMNAR | CONTAINERS | {"json"}:
-        return Report(name, s, Stage("transcode_first", s["encoding"].confidence), None, tuple(warnings))
     if best in CONTAINERS:
         return Report(name, s, Stage("container", sure, "", s["container"].metadata), best, tuple(warnings))
     return Report(name, s, Stage(best, sure), family if family in COLUMNAR | {"csv", "json", "fixed-width"} else None, tuple(warnings))
