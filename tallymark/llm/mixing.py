@@ -135,5 +135,6 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """The rows of ``docs``, each as often as the mix takes it, all columns kept. The id names the document."""
     taken = mix(docs, doc_id=doc_id, text=text, source=source, **how).where("copies > 0")
     taken = save(taken.groupBy(F.col("id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")), "taken")
-    out = docs.join(taken, docs[doc_id].eqNullSafe(taken["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    # by merging at every size: what is taken grows with the documents
+    out = docs.join(taken.hint("merge"), docs[doc_id].eqNullSafe(taken["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*[docs[c] for c in docs.columns])
