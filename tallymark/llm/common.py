@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,29 +9,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import save, scratch_root
+
 #: Fixed value: the white space of every contract, as a Java and Python character class body.
 BLANKS = r"\x20\x09-\x0D"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tallymark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, statistics are known, a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tallymark/{uuid.uuid4().hex}/{label}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def texts_to_python(docs: DataFrame) -> None:
+    """Texts are long: at most 1,000 of them cross to Python at once, unless the session has a size of its own.
 
+    The size is read when a plan is made, so it is the session's; other operators put batches together as they need.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def blocks(rows: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``size`` rows, the last one shorter."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in rows:
+        while batch.num_rows:
+            part = batch.slice(0, size - n)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def text_or_empty(text: Column) -> Column:
@@ -97,3 +107,6 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     parts = F.broadcast(parts.select("_range", before.alias("_before")))
     low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return s.withColumn("_range", F.shiftright("_at", 33)).join(parts, "_range").withColumn("_rank", F.col("_before") + low).drop("_range", "_before", "_at")
+
+
+__all__ = ["BLANKS", "batches", "blocks", "fold", "group_bounds", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty", "texts_to_python"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, save
+from .common import blocks, save
 
 TREES, LENGTH, SEED = 16, 32, 7
 LEVELS = (24, 20, 16, 13, 11, 9, 8, 7, 6, 5, 4, 3, 2)
@@ -160,7 +160,7 @@ def _searcher(shared, k: int, chance: float):
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         best = {n: [Best(k) for _ in ids] for n, (ids, _) in queries.items()}
-        for batch in batches(rows, BLOCK):
+        for batch in blocks(rows, BLOCK):
             ids, v = batch.column("id").to_numpy(), batch.column("v")
             sizes = v.value_lengths().to_numpy()
             for n in set(sizes.tolist()) & queries.keys():

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, fold, save, text_or_empty
+from .common import batches, fold, save, text_or_empty, texts_to_python
 
 #: At most so many labelled rows of each class are the voters; with RANK floats each they take MAX_VOTERS * 2 * RANK * 4 bytes, a megabyte.
 MAX_VOTERS, RANK, NEIGHBOURS, POWER = 2048, 32, 15, 4
 #: Terms: shapes by hash, then the repeated word, then ten steps of the share of different words.
 SHAPES = 512
 TERMS = SHAPES + 11
-MEMORY = 300_000
+MEMORY = 150_000
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -97,6 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
 
     A vote counts as much as the class has rows for each of its voters.
     """
+    texts_to_python(docs)
     known = labels.select(F.col(doc_id), F.col(label)).where((fold(F.col(doc_id), folds) != held) & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(MAX_VOTERS) for y in (0, 1)]
@@ -129,7 +130,7 @@ def _scored(docs: DataFrame, voters: Voters | None, text: str, name: str) -> Dat
         return docs.withColumn(name, F.lit(0.5))
 
     def score(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 1024):
+        for batch in batches(rows, 256):
             x = np.stack([term_vector(t or "") for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(voters.score(x).astype(np.float64))], [*batch.schema.names, name])
 

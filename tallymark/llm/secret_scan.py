@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, save, text_or_empty
+from .common import batches, save, text_or_empty, texts_to_python
 
 # The patterns of the contract.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -140,6 +140,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     Null text is the empty text and has no spans. Repeated rows are scanned each by itself.
     Other columns of ``docs`` are not read.
     """
+    texts_to_python(docs)
     kind = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text"))
     found = save(narrow.mapInArrow(_scan, f"id {kind}, base array<struct<start:bigint,kind:int,end:bigint>>, more array<struct<start:bigint,end:bigint,length:int,bin:int>>"), "spans")

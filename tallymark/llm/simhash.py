@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, group_bounds, save, sorted_groups, text_or_empty
+from .common import batches, group_bounds, save, sorted_groups, text_or_empty, texts_to_python
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -166,6 +166,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     never a component's id unless it has no other. Rows that share an id each keep their own text's component.
     Other columns of ``docs`` are not read.
     """
+    texts_to_python(docs)
     kind = docs.schema[doc_id].dataType.simpleString()
     prints = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).cast("binary").alias("text")).mapInArrow(_fingerprints, f"id {kind}, fp long")
     prints = save(prints, "prints")
@@ -181,8 +182,9 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that another of their component precedes, all columns kept.
 
-    The id names the document: rows that share it and the component's smallest id all stay.
+    The id names the document: rows that share one stay if one of them is to stay.
     """
     found = simhash_components(docs, doc_id, text)
-    gone = save(found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone")).distinct(), "gone")
+    stays = F.bool_or(F.col("id").eqNullSafe(F.col("component_id"))).alias("stays")
+    gone = save(found.groupBy(F.col("id").alias("_gone")).agg(stays).where("NOT stays").select("_gone"), "gone")
     return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")

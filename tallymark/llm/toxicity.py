@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fold, save, text_or_empty
+from .common import batches, fold, save, text_or_empty, texts_to_python
 
 #: Bounds of the training sample and of the model.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 2048
@@ -165,6 +165,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     Null text is the empty text: it has no features and the score of the bias alone. Without
     confirmed examples in the training folds every score is 0. Other columns of ``docs`` are not read.
     """
+    texts_to_python(docs)
     scorer = fit(docs, labels, doc_id, text, label, folds, held)
     kind = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(docs[doc_id].alias("id"), (fold(docs[doc_id], folds) == held).alias("held_out"), text_or_empty(docs[text]).alias("text"))
