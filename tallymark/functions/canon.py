@@ -53,7 +53,7 @@ def date_candidates(c: Column, *formats: str) -> Column:
 def first_date(c: Column) -> Column:
     """The earliest date that a cell can mean, ISO; null for others."""
     t = strip(c)
-    return F.when(t.rlike(DATE_SHAPE), F.date_format(F.array_min(date_candidates(c)), "yyyy-MM-dd"))
+    return F.when(F.length(t).between(8, 18) & t.rlike(DATE_SHAPE), F.date_format(F.array_min(date_candidates(c)), "yyyy-MM-dd"))
 
 
 def auto(c: Column) -> Column:

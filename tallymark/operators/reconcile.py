@@ -69,7 +69,7 @@ class Reconciliation:
         elif self.on_duplicate == "error" and not df.groupBy(*parts).count().where("count > 1").isEmpty():
             raise ValueError(f"{side} has repeated keys")
         t = side[0]
-        cells = [f.value(df, side).alias(f"_{t}{i}") for i, f in enumerate(self.fields)]
+        cells = [(df[f.columns(side)[0]].cast("string") if self._alike(f) else f.value(df, side)).alias(f"_{t}{i}") for i, f in enumerate(self.fields)]
         out = [p.alias(f"_k{i}") for i, p in enumerate(parts)] + [F.lit(True).alias(f"_in_{side}"), *cells]
         if raw:
             out.append(self._record(df, keys, side).alias(f"_{side}_record"))
@@ -91,9 +91,22 @@ class Reconciliation:
         status = F.when(F.col("_in_target").isNull(), F.lit(MISSING)).when(F.col("_in_source").isNull(), F.lit(EXTRA)).when(self._differs(), F.lit(VALUE)).otherwise(F.lit(MATCH))
         return j.withColumn("uid", identity.uid([F.col(p) for p in parts])).withColumn("status", status)
 
+    @staticmethod
+    def _alike(f: Field) -> bool:
+        """Whether equal raw cells are equal canonical ones: then raw cells travel, and only those that differ are made canonical."""
+        return len(f.source_columns) == len(f.target_columns) == 1 and f.source == f.target and f.mode != "structured"
+
+    def _cell(self, i: int, side: str) -> Column:
+        """Canonical cell of a joined row."""
+        f, c = self.fields[i], F.col(f"_{side[0]}{i}")
+        return f.cell(c, side) if self._alike(f) else c
+
+    def _differ(self, i: int) -> Column:
+        unlike = self._cell(i, SOURCE) != self._cell(i, TARGET)
+        return ~F.col(f"_s{i}").eqNullSafe(F.col(f"_t{i}")) & unlike if self._alike(self.fields[i]) else unlike
+
     def _differs(self) -> Column:
-        tests = [F.col(f"_s{i}") != F.col(f"_t{i}") for i in range(len(self.fields))]
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
+        return reduce(lambda a, b: a | b, map(self._differ, range(len(self.fields))), F.lit(False))
 
     @cached_property
     def _joined(self) -> DataFrame:
@@ -122,9 +135,11 @@ class Reconciliation:
 
     def _cells(self, same: bool = False) -> Column:
         """The fields of a row that differ, or those that agree."""
-        cell = lambda i, f: F.struct(F.lit(f.key).alias("column_name"), F.col(f"_s{i}").alias("source_value"), F.col(f"_t{i}").alias("target_value"), F.lit(f.sensitive).alias("hidden"))
-        every = F.array(*[cell(i, f) for i, f in enumerate(self.fields)])
-        return F.filter(every, lambda c: (c["source_value"] == c["target_value"]) if same else (c["source_value"] != c["target_value"]))
+        cells = []
+        for i, f in enumerate(self.fields):
+            cell = F.struct(F.lit(f.key).alias("column_name"), self._cell(i, SOURCE).alias("source_value"), self._cell(i, TARGET).alias("target_value"), F.lit(f.sensitive).alias("hidden"))
+            cells.append(F.when(~self._differ(i) if same else self._differ(i), cell))
+        return F.array_compact(F.array(*cells)) if cells else F.array().cast("array<struct<column_name:string,source_value:string,target_value:string,hidden:boolean>>")
 
     def _exploded(self, rows: DataFrame, same: bool = False) -> DataFrame:
         shown = lambda c: F.when(F.col("c.hidden"), canon.mask(F.col(c))).otherwise(F.col(c))
@@ -163,7 +178,7 @@ class Reconciliation:
 
     def summary(self) -> DataFrame:
         """One row: missing, extra, changed cells and changed rows."""
-        cells = sum((F.col(f"_s{i}") != F.col(f"_t{i}")).cast("int") for i in range(len(self.fields))) if self.fields else F.lit(0)
+        cells = sum(self._differ(i).cast("int") for i in range(len(self.fields))) if self.fields else F.lit(0)
         changed = F.col("status") == VALUE
         count = lambda s: F.count_if(F.col("status") == s)
         return self._joined.agg(count(MISSING).alias(MISSING), count(EXTRA).alias(EXTRA), F.coalesce(F.sum(F.when(changed, cells)), F.lit(0)).cast("long").alias("value_mismatch_cells"), F.count_if(changed).alias("value_mismatch_rows"))

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,13 +85,16 @@ def resolve(spark: SparkSession, request: Request) -> str:
     return detect.resolve_format([detect.detect(*head(spark, p)) for p in (request.source, request.target)], "auto")
 
 
-def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt: str, delimiter: str | None) -> DataFrame:
+def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt: str, delimiter: str | None, lines: Sequence[str] | None = None) -> DataFrame:
+    """``lines``: the first ones of a delimited input, if they have been read."""
     if fmt == "csv":
-        lines = readers.first_lines(spark, path)[request.header_leading_rows :]
+        lines = lines if lines is not None else readers.first_lines(spark, path)[request.header_leading_rows :]
         if not lines:
             return spark.createDataFrame([], T.StructType([]))
-        header = request.has_header if request.has_header is not None else sniff.has_header(readers.split_line(lines[0], delimiter))
-        df = readers.read_delimited(spark, path, delimiter, header, skip_rows=request.header_leading_rows)
+        cells = [c.strip() for c in readers.split_line(lines[0], delimiter)]
+        header = request.has_header if request.has_header is not None else sniff.has_header(cells)
+        names = [c or f"column_{i + 1}" for i, c in enumerate(cells)] if header else readers.synthetic_names(len(cells))
+        df = readers.read_delimited(spark, path, delimiter, header, None if lines[0].count('"') % 2 else names, request.header_leading_rows)
     else:
         df = readers.as_text(readers.read_columnar(spark, path, fmt))
     keys = key_columns(request.uid)
@@ -125,34 +128,43 @@ def validate(spark: SparkSession, request: Request) -> Result:
 
 
 def _tables(spark: SparkSession, request: Request, fmt: str) -> Result:
-    delimiter = sniff.delimiter_token(request.delimiter) if fmt == "csv" else None
+    delimiter, lines = sniff.delimiter_token(request.delimiter) if fmt == "csv" else None, [None, None]
+    if fmt == "csv":
+        lines = [readers.first_lines(spark, p)[request.header_leading_rows :] for p in (request.source, request.target)]
     if fmt == "csv" and delimiter is None:
-        sides = [readers.first_lines(spark, p) for p in (request.source, request.target)]
-        sides = [s[request.header_leading_rows :] for s in sides]
-        filled = [s for s in sides if s]
-        delimiter = sniff.shared_delimiter(*sides) if len(filled) == 2 and min(map(len, filled)) > 1 else next((sniff.detect_delimiter(s) for s in filled if len(s) > 1), ",")
-    s, t = (read_side(spark, request, p, fmt, delimiter) for p in (request.source, request.target))
+        filled = [x for x in lines if x]
+        delimiter = sniff.shared_delimiter(*lines) if len(filled) == 2 and min(map(len, filled)) > 1 else next((sniff.detect_delimiter(x) for x in filled if len(x) > 1), ",")
+    s, t = (read_side(spark, request, p, fmt, delimiter, x) for p, x in zip((request.source, request.target), lines, strict=True))
     if not s.columns or not t.columns:  # an empty side has the other's columns and no rows
         s, t = (x if x.columns else spark.createDataFrame([], y.schema) for x, y in ((s, t), (t, s)))
+    empty = lambda: spark.createDataFrame([], ", ".join(f"{c} string" for c in report.MISMATCH_COLUMNS))
     if not s.columns:
-        empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in report.MISMATCH_COLUMNS))
-        return Result(empty, report.normal_summary({}), True, 0, 0)
-    counts = compare.litmus(s, t).first()
-    issues = [r.asDict() for r in compare.schema_diff(compare.schema_frame(s), compare.schema_frame(t)).collect()] if not request.column_mappings else []
-    if request.test_mode == LITMUS and not (counts["same_rows"] and counts["same_columns"]):
-        empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in report.MISMATCH_COLUMNS))
-        return Result(empty, report.normal_summary({}), False, counts["source_rows"], counts["target_rows"], issues)
+        return Result(empty(), report.normal_summary({}), True, 0, 0)
+    same_schema = [(f.name, f.dataType) for f in s.schema] == [(f.name, f.dataType) for f in t.schema]
+    issues = [] if same_schema or request.column_mappings else [r.asDict() for r in compare.schema_diff(compare.schema_frame(s), compare.schema_frame(t)).collect()]
+    if request.test_mode == LITMUS:
+        c = compare.litmus(s, t).first()
+        if not (c["same_rows"] and c["same_columns"]):
+            return Result(empty(), report.normal_summary({}), False, c["source_rows"], c["target_rows"], issues)
     keys = key_columns(request.uid)
     if not keys:
         columns = [c for c in s.columns if c in t.columns]
         diff = multiset_difference(s, t, columns)
         detail = F.to_json(F.struct(*columns, "source_count", "target_count"))
         rows = diff.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("uid"), "mismatch_type", *[F.lit(None).cast("string").alias(c) for c in report.MISMATCH_COLUMNS[2:5]], detail.alias("row_detail"))
-    else:
-        shared = [c for c in s.columns if c in t.columns]
-        fields = resolve_fields(request.column_mappings, keys, shared, complex_columns(s, shared))
-        rows = Reconciliation(s, t, keys, fields, on_duplicate=request.on_duplicate).mismatches()
-    return _finish(rows, counts["source_rows"], counts["target_rows"], issues)
+        c = compare.litmus(s, t).first()
+        return _finish(rows, c["source_rows"], c["target_rows"], issues)
+    shared = [c for c in s.columns if c in t.columns]
+    fields = resolve_fields(request.column_mappings, keys, shared, complex_columns(s, shared))
+    rows = Reconciliation(s, t, keys, fields, on_duplicate=request.on_duplicate).mismatches()
+    # rows are counted on their way into the join that makes the summary; a plan over no rows has no such way
+    seen = [None if x.isEmpty() else Observation() for x in (s, t)]
+    whole = None not in seen
+    counted = [x.observe(o, F.count(F.lit(1)).alias("n")) if whole else x for x, o in zip((s, t), seen, strict=True)]
+    c = Reconciliation(*counted, keys, fields, on_duplicate=request.on_duplicate).summary().first().asDict()
+    summary = report.normal_summary({**c, "value_mismatch": c["value_mismatch_cells"]})
+    n = [o.get["n"] for o in seen] if whole else [x.count() for x in (s, t)]
+    return Result(rows, summary, not any(summary.values()), *n, issues)
 
 
 def _finish(rows: DataFrame, source_rows: int, target_rows: int, issues: Sequence[dict] = ()) -> Result:

@@ -55,14 +55,17 @@ def first_lines(spark: SparkSession, path: str, n: int = 100) -> list[str]:
 
 def read_delimited(
     spark: SparkSession, path: str | list[str], delimiter: str = ",", header: bool = True, names: Sequence[str] | None = None,
-    skip_rows: int = 0, columns: Sequence[str] | None = None, encoding: str = "UTF-8", multi_line: bool = True, on_ragged: str = "pad",
+    skip_rows: int = 0, columns: Sequence[str] | None = None, encoding: str = "UTF-8", multi_line: bool | None = None, on_ragged: str = "pad",
 ) -> DataFrame:
     """Delimited text with any delimiter, RFC 4180 quotes, all columns text.
 
     Short rows are padded with null and long ones cut; with ``on_ragged="flag"`` a column ``_ragged`` marks them.
-    ``multi_line`` allows quoted line breaks but makes a file one split: switch it off for large inputs without them.
+    ``multi_line`` allows quoted line breaks but makes a file one split; if it is not given, a parallel scan for a line
+    with an odd number of quotes decides.
     ``skip_rows`` drops leading lines of the (single) file before the header.
     """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
     reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option("emptyValue", "").option("mode", "PERMISSIVE")
     reader = reader.option("multiLine", multi_line)
     if skip_rows:
@@ -87,6 +90,13 @@ def read_delimited(
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 
 
+def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a quote stays open at the end of some line; reading stops at the first."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(value.contains('"') & (quotes % 2 == 1)).isEmpty()
+
+
 def unique(names: Sequence[str]) -> list[str]:
     """Repeated names get a number."""
     seen: dict[str, int] = {}
