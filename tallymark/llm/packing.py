@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, text_or_empty
+from .common import batches, text_or_empty, texts_to_python
 
 AXES, BITS = 3, 10
 #: Bits of a word's hash that are its signs.
@@ -38,8 +38,11 @@ PROBE = "It's 12 o'clock,\n\n  isn't it?\tAieê ñandú  Übergröße... (x_1) w
 
 
 def project(text: bytes) -> list[int]:
-    """Coordinates of a text, 0 to 2**BITS - 1 on each axis: the standardised sum of its words' signs through the normal distribution."""
-    words = text.lower().split()
+    """Coordinates of a text, 0 to 2**BITS - 1 on each axis: the standardised sum of its different words' signs through the normal distribution.
+
+    Words count once: else common words would carry all long texts into a few corners, and a range of keys would be all long texts.
+    """
+    words = set(text.lower().split())
     n = len(words)
     if not n:
         return [0] * AXES
@@ -232,6 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end: int = 0, doc_i
     """
     if width & (width - 1):
         raise ValueError("the width of a sequence must be a power of two")
+    texts_to_python(docs)
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).withColumn("key", curve_key(F.col("text").cast("binary")))
     ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("id", "text")
