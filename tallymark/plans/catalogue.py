@@ -13,7 +13,7 @@ from ..functions.mapping import Field, SideRule
 from ..operators import compare, fixed_width, history, json_diff, quality, report
 from ..operators.reconcile import Reconciliation, multiset_difference, positional
 from ..sources import layout, readers
-from ..sources.scratch import scratch_root
+from ..sources.scratch import scratch_path
 from . import oracle
 from .inputs import SQL, expand, frame, load
 
@@ -603,17 +603,11 @@ def _(spark, d):
 # --- files: written to the shared folder and read back -----------------------------------------------
 
 
-def _file(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{scratch_root(spark)}/tallymark/{uuid.uuid4().hex}/{name}"
-
-
 @query("csv_roundtrip_recon", f"WITH {oracle.joined('customer_s', 'customer_t', ['id'], oracle.same(CUSTOMER_CELLS))} {oracle.COUNTS}")
 def _(spark, d):
     sides = []
     for n in ("customer_s", "customer_t"):
-        load(spark, d, n).drop("n").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path := _file(spark, n))
+        load(spark, d, n).drop("n").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path := scratch_path(spark, n))
         sides.append(readers.read_delimited(spark, path))
     return Reconciliation(*sides, ["id"], _plain(*CUSTOMER_CELLS)).status_counts()
 
@@ -623,26 +617,26 @@ def _(spark, d):
     df = load(spark, d, "customer_s").select("id", "name", "balance", "segment")
     lines = df.select(F.concat_ws("||", *df.columns).alias("value"))
     head = spark.sql("SELECT 'id||name||balance||segment' AS value")
-    head.unionByName(lines).coalesce(1).write.text(path := _file(spark, "multi"))
+    head.unionByName(lines).coalesce(1).write.text(path := scratch_path(spark, "multi"))
     return readers.read_delimited(spark, path, "||", multi_line=False)
 
 
 @query("orc_roundtrip", "SELECT CAST(r_regionkey AS STRING) AS r_regionkey, r_name FROM region")
 def _(spark, d):
-    spark.read.parquet(f"{d}/region.parquet").write.orc(path := _file(spark, "orc"))
+    spark.read.parquet(f"{d}/region.parquet").write.orc(path := scratch_path(spark, "orc"))
     return readers.as_text(readers.read_columnar(spark, path, "orc"))
 
 
 @query("ndjson_roundtrip", f"WITH {oracle.mismatches('customer_s', 'customer_t', ['id'], oracle.same(CUSTOMER_CELLS))} SELECT mismatch_type, count(*) AS n FROM m GROUP BY 1")
 def _(spark, d):
-    report.write_ndjson(_customers(spark, d).mismatches(), path := _file(spark, "ndjson"))
+    report.write_ndjson(_customers(spark, d).mismatches(), path := scratch_path(spark, "ndjson"))
     return report.counts_by_type(report.read_ndjson(spark, path))
 
 
 @query("column_count_errors", "SELECT CAST(0 AS BIGINT) AS n, 4 AS expected")
 def _(spark, d):
     df = load(spark, d, "customer_s").select(F.concat_ws(",", "id", "name", "balance", "segment").alias("value"))
-    df.write.text(path := _file(spark, "lines"))
+    df.write.text(path := scratch_path(spark, "lines"))
     return readers.column_count_errors(spark, path, ",").agg(F.count(F.lit(1)).alias("n"), F.lit(4).alias("expected"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,17 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir; a folder of our own, removed at the end, only where that is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tallymark-')}"
+        own = tempfile.mkdtemp(prefix="tallymark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tallymark/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path under the application's folder."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}/{label}"
+
+
 def save(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` and read it back: lineage is cut, statistics are known, a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tallymark/{uuid.uuid4().hex}/{label}"
+    path = scratch_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's tables; results that still read them must have been written before."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
