@@ -21,8 +21,6 @@ DATE_FORMATS = (
     "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "M-d-yyyy", "d-MMM-yyyy", "d-MMMM-yyyy",
     "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "d.M.yyyy", "yyyy/M/d",
 )
-#: What the formats can match at all; other cells are not parsed.
-DATE_SHAPE = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/. ](\d{1,2}|[A-Za-z]{3,9})[-/. ]\d{4}|[A-Za-z]{3,9} \d{1,2} \d{4})$"
 # The characters that Unicode and Python count as white space.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -41,19 +39,44 @@ def text(c: Column) -> Column:
     return F.when(is_null(c), F.lit(NULL)).otherwise(strip(c))
 
 
+def _readings(t: Column) -> Column:
+    """The dates that a trimmed text can mean by the formats, with nulls between them.
+
+    The text's shape names the one or two formats that can read it, so that hardly any parser fails: failing costs most.
+    """
+    day_first, month_first = F.try_to_date(F.translate(t, "-", "/"), "d/M/yyyy"), F.try_to_date(F.translate(t, "-", "/"), "M/d/yyyy")
+    low = lambda part: F.substring_index(F.substring_index(F.translate(t, "-", "/"), "/", part), "/", -1).try_cast("int") <= 12
+    named = F.translate(t, "-", " ")
+    letters = F.length(F.regexp_extract(t, "[A-Za-z]+", 0))
+    month = lambda before, after: F.when(letters == 3, F.try_to_date(named, f"{before}MMM{after}")).otherwise(F.try_to_date(named, f"{before}MMMM{after}"))
+    return (
+        F.when(t.rlike(r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"), F.array(F.try_to_date(F.translate(t, "/", "-"), "yyyy-M-d")))
+        .when(t.rlike(r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"), F.array(F.when(low(1), month_first), F.when(low(2), day_first)))
+        .when(t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.array(F.try_to_date(t, "d.M.yyyy")))
+        .when(t.rlike(r"^\d{1,2}([- ])[A-Za-z]{3,9}\1\d{4}$"), F.array(month("d ", " yyyy")))
+        .when(t.rlike(r"^[A-Za-z]{3,9} \d{1,2} \d{4}$"), F.array(month("", " d yyyy")))
+    )
+
+
+def _maybe_date(t: Column) -> Column:
+    """A cheap test that every date passes."""
+    return F.length(t).between(8, 17) & t.rlike(r"\d$|\d{4}[-/]")
+
+
 def date_candidates(c: Column, *formats: str) -> Column:
     """All dates that a cell can mean, as a set; empty for others."""
     t = strip(c)
-    tried = [F.try_to_date(t, f) for f in (*DATE_FORMATS, *formats)]
-    found = F.array_distinct(F.array_compact(F.array(*tried)))
     empty = F.array().cast("array<date>")
-    return F.when(t.rlike(DATE_SHAPE) if not formats else F.length(t) > 0, found).otherwise(empty)
+    found = F.coalesce(F.when(_maybe_date(t), _readings(t)), empty)
+    if formats:
+        found = F.concat(found, F.array(*[F.try_to_date(t, f) for f in formats]))
+    return F.array_distinct(F.array_compact(found))
 
 
 def first_date(c: Column) -> Column:
     """The earliest date that a cell can mean, ISO; null for others."""
     t = strip(c)
-    return F.when(F.length(t).between(8, 18) & t.rlike(DATE_SHAPE), F.date_format(F.array_min(date_candidates(c)), "yyyy-MM-dd"))
+    return F.when(_maybe_date(t), F.date_format(F.array_min(_readings(t)), "yyyy-MM-dd"))
 
 
 def auto(c: Column) -> Column:
@@ -103,7 +126,7 @@ def boolean(c: Column) -> Column:
 
 # Date and timestamp formats of typed columns.
 TYPED_DATES = ("yyyy-M-d", "M/d/yyyy", "d-M-yyyy")
-TYPED_TIMES = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
+TYPED_TIME = "yyyy-M-d H:m:s"
 
 
 def typed_date(c: Column) -> Column:
@@ -112,9 +135,9 @@ def typed_date(c: Column) -> Column:
 
 
 def timestamp(c: Column) -> Column:
-    """Zone letter and fraction dropped; ISO with seconds."""
-    t = F.regexp_replace(F.regexp_replace(strip(c), r"Z$", ""), r"\.\d+$", "")
-    tried = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TYPED_TIMES])
+    """Zone letter and fraction dropped, T or a space between date and time; ISO with seconds."""
+    t = F.translate(F.regexp_replace(strip(c), r"(\.\d+)?Z?$", ""), "T", " ")
+    tried = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), F.try_to_timestamp(t, F.lit(TYPED_TIME)))
     return F.when(is_null(c), F.lit(NULL)).otherwise(F.coalesce(F.date_format(tried, "yyyy-MM-dd'T'HH:mm:ss"), strip(c)))
 
 

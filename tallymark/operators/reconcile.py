@@ -8,7 +8,7 @@ matching, changed, missing or extra. Cells travel with the join, so nothing is l
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +29,11 @@ def last_by_key(df: DataFrame, keys: Sequence[Column], order: Sequence[Column])
     return last.select("_row.*")
 
 
+def _canonical(rule: Field):
+    """A change with both values in a rule's canonical form."""
+    return lambda c: F.struct(c["field"].alias("field"), rule.cell(c["source_value"], SOURCE).alias("source_value"), rule.cell(c["target_value"], TARGET).alias("target_value"))
+
+
 @dataclass
 class Reconciliation:
     """A source and a target, their key columns and compared fields.
@@ -83,12 +88,12 @@ class Reconciliation:
         return F.struct(*[cell(c).alias(c) for c in wanted])
 
     def joined(self, raw: bool = False) -> DataFrame:
-        """Key parts, both sides' canonical cells, ``uid`` and ``status``."""
+        """Key parts, both sides' cells, ``uid``, ``changes`` (canonical cells that differ) and ``status``."""
         s = self._side(self.source, self.keys, SOURCE, raw)
         t = self._side(self.target, self.target_keys, TARGET, raw)
         parts = [f"_k{i}" for i in range(len(self.keys))]
-        j = s.join(t, parts, "full_outer")
-        status = F.when(F.col("_in_target").isNull(), F.lit(MISSING)).when(F.col("_in_source").isNull(), F.lit(EXTRA)).when(self._differs(), F.lit(VALUE)).otherwise(F.lit(MATCH))
+        j = s.join(t, parts, "full_outer").withColumn("changes", self._changes())
+        status = F.when(F.col("_in_target").isNull(), F.lit(MISSING)).when(F.col("_in_source").isNull(), F.lit(EXTRA)).when(F.size("changes") > 0, F.lit(VALUE)).otherwise(F.lit(MATCH))
         return j.withColumn("uid", identity.uid([F.col(p) for p in parts])).withColumn("status", status)
 
     @staticmethod
@@ -96,17 +101,27 @@ class Reconciliation:
         """Whether equal raw cells are equal canonical ones: then raw cells travel, and only those that differ are made canonical."""
         return len(f.source_columns) == len(f.target_columns) == 1 and f.source == f.target and f.mode != "structured"
 
-    def _cell(self, i: int, side: str) -> Column:
-        """Canonical cell of a joined row."""
-        f, c = self.fields[i], F.col(f"_{side[0]}{i}")
-        return f.cell(c, side) if self._alike(f) else c
+    def _changes(self) -> Column:
+        """Cells of a pair that differ: number of the field, canonical source and target value.
 
-    def _differ(self, i: int) -> Column:
-        unlike = self._cell(i, SOURCE) != self._cell(i, TARGET)
-        return ~F.col(f"_s{i}").eqNullSafe(F.col(f"_t{i}")) & unlike if self._alike(self.fields[i]) else unlike
-
-    def _differs(self) -> Column:
-        return reduce(lambda a, b: a | b, map(self._differ, range(len(self.fields))), F.lit(False))
+        Comparing raw cells is generated code; the canonical form of those that differ is written once for all
+        fields of a rule, inside a lambda, so that a wide table's plan stays small.
+        """
+        groups: dict[Field | None, list[int]] = {}
+        for i, f in enumerate(self.fields):
+            rule = replace(f, key="", source_columns=(), target_columns=(), sensitive=False) if self._alike(f) else None
+            groups.setdefault(rule, []).append(i)
+        found = []
+        for rule, numbers in groups.items():
+            pair = lambda i: F.struct(F.lit(i).alias("field"), F.col(f"_s{i}").alias("source_value"), F.col(f"_t{i}").alias("target_value"))
+            unlike = F.array_compact(F.array(*[F.when(~F.col(f"_s{i}").eqNullSafe(F.col(f"_t{i}")), pair(i)) for i in numbers]))
+            if rule is not None:
+                unlike = F.filter(F.transform(unlike, _canonical(rule)), lambda c: c["source_value"] != c["target_value"])
+            found.append(unlike)
+        none = F.array().cast("array<struct<field:int,source_value:string,target_value:string>>")
+        every = none if not found else found[0] if len(found) == 1 else F.concat(*found)
+        raw_differ = reduce(lambda a, b: a | b, [~F.col(f"_s{i}").eqNullSafe(F.col(f"_t{i}")) for i in range(len(self.fields))], F.lit(False))
+        return F.when(F.col("_in_source") & F.col("_in_target") & raw_differ, every).otherwise(none)
 
     @cached_property
     def _joined(self) -> DataFrame:
@@ -133,23 +148,19 @@ class Reconciliation:
         right = b.select(*[p.alias(n) for p, n in zip(identity.key_parts(b, b_keys), names, strict=True)])
         return left.join(right, names, "left_anti").select(identity.uid([F.col(n) for n in names]).alias("uid"))
 
-    def _cells(self, same: bool = False) -> Column:
-        """The fields of a row that differ, or those that agree."""
-        cells = []
-        for i, f in enumerate(self.fields):
-            cell = F.struct(F.lit(f.key).alias("column_name"), self._cell(i, SOURCE).alias("source_value"), self._cell(i, TARGET).alias("target_value"), F.lit(f.sensitive).alias("hidden"))
-            cells.append(F.when(~self._differ(i) if same else self._differ(i), cell))
-        return F.array_compact(F.array(*cells)) if cells else F.array().cast("array<struct<column_name:string,source_value:string,target_value:string,hidden:boolean>>")
-
-    def _exploded(self, rows: DataFrame, same: bool = False) -> DataFrame:
-        shown = lambda c: F.when(F.col("c.hidden"), canon.mask(F.col(c))).otherwise(F.col(c))
-        keep = [c for c in ("_source_record", "_target_record") if c in rows.columns]
-        out = rows.select("uid", "status", *keep, F.explode(self._cells(same)).alias("c"))
-        return out.select("uid", "status", "c.column_name", shown("c.source_value").alias("source_value"), shown("c.target_value").alias("target_value"), *keep)
+    def _named(self, rows: DataFrame, change: str) -> tuple[Column, Column, Column]:
+        """Column name and shown values of a change, null without one; sensitive values are masked."""
+        at = rows[change]["field"]
+        pick = lambda values: F.when(rows[change].isNotNull(), F.get(F.array(*[F.lit(v) for v in values]), at))
+        hidden = pick([f.sensitive for f in self.fields])
+        masks = any(f.sensitive for f in self.fields)
+        shown = lambda c: F.when(hidden, canon.mask(rows[change][c])).otherwise(rows[change][c]) if masks else rows[change][c]
+        return pick([f.key for f in self.fields]).alias("column_name"), shown("source_value").alias("source_value"), shown("target_value").alias("target_value")
 
     def changed_cells(self) -> DataFrame:
         """uid, column_name, source_value, target_value of every cell that differs, canonical, sensitive ones masked."""
-        return self._exploded(self._joined.where(F.col("status") == VALUE)).drop("status")
+        rows = self._joined.where(F.col("status") == VALUE).select("uid", F.explode("changes").alias("c"))
+        return rows.select("uid", *self._named(rows, "c"))
 
     def mismatches(self, details: bool = True) -> DataFrame:
         """The long-form relation: a row for each missing and extra record and each changed cell.
@@ -157,11 +168,10 @@ class Reconciliation:
         ``row_detail`` is JSON with the raw records. The join is made once: presence rows get one cell without a column.
         """
         j = self.joined(raw=details).where(F.col("status") != MATCH)
-        none = F.array(F.struct(F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("source_value"), F.lit(None).cast("string").alias("target_value"), F.lit(False).alias("hidden")))
-        out = j.withColumn("c", F.explode(F.when(F.col("status") == VALUE, self._cells()).otherwise(none)))
-        shown = lambda c: F.when(F.col("c.hidden"), canon.mask(F.col(c))).otherwise(F.col(c))
+        # a row without changes is kept by the outer explode
+        rows = j.withColumn("c", F.explode_outer("changes"))
         detail = F.to_json(F.struct("uid", F.col("_source_record").alias("source_record"), F.col("_target_record").alias("target_record"))) if details else F.lit(None).cast("string")
-        return out.select("uid", F.col("status").alias("mismatch_type"), "c.column_name", shown("c.source_value").alias("source_value"), shown("c.target_value").alias("target_value"), detail.alias("row_detail"))
+        return rows.select("uid", F.col("status").alias("mismatch_type"), *self._named(rows, "c"), detail.alias("row_detail"))
 
     def presence_detail(self, side: str = SOURCE) -> DataFrame:
         """uid and raw record columns of the missing (source) or extra (target) records."""
@@ -170,18 +180,21 @@ class Reconciliation:
 
     def match_samples(self, per_column: int = 10) -> DataFrame:
         """Up to ``per_column`` agreeing cells of each field, by uid; none if anything differs."""
+        same = self._joined.where(F.col("status") == MATCH)
         if not self._joined.where(F.col("status") != MATCH).isEmpty():
-            return self._exploded(self._joined.limit(0), same=True).select("uid", F.lit(MATCH).alias("mismatch_type"), "column_name", "source_value", "target_value")
-        cells = self._exploded(self._joined, same=True)
-        n = F.row_number().over(Window.partitionBy("column_name").orderBy("uid", "source_value"))
-        return cells.withColumn("n", n).where(F.col("n") <= per_column).select("uid", F.lit(MATCH).alias("mismatch_type"), "column_name", "source_value", "target_value")
+            same = same.limit(0)
+        value = lambda i, f: f.cell(F.col(f"_s{i}"), SOURCE) if self._alike(f) else F.col(f"_s{i}")
+        cells = F.array(*[F.struct(F.lit(f.key).alias("column_name"), (canon.mask(value(i, f)) if f.sensitive else value(i, f)).alias("v")) for i, f in enumerate(self.fields)])
+        rows = same.select("uid", F.explode(cells).alias("c"))
+        n = F.row_number().over(Window.partitionBy("c.column_name").orderBy("uid", "c.v"))
+        rows = rows.withColumn("n", n).where(F.col("n") <= per_column)
+        return rows.select("uid", F.lit(MATCH).alias("mismatch_type"), "c.column_name", F.col("c.v").alias("source_value"), F.col("c.v").alias("target_value"))
 
     def summary(self) -> DataFrame:
         """One row: missing, extra, changed cells and changed rows."""
-        cells = sum(self._differ(i).cast("int") for i in range(len(self.fields))) if self.fields else F.lit(0)
         changed = F.col("status") == VALUE
         count = lambda s: F.count_if(F.col("status") == s)
-        return self._joined.agg(count(MISSING).alias(MISSING), count(EXTRA).alias(EXTRA), F.coalesce(F.sum(F.when(changed, cells)), F.lit(0)).cast("long").alias("value_mismatch_cells"), F.count_if(changed).alias("value_mismatch_rows"))
+        return self._joined.agg(count(MISSING).alias(MISSING), count(EXTRA).alias(EXTRA), F.coalesce(F.sum(F.when(changed, F.size("changes"))), F.lit(0)).cast("long").alias("value_mismatch_cells"), F.count_if(changed).alias("value_mismatch_rows"))
 
     def partition_stats(self, partitions: int = 16, algorithm: str = "md5") -> DataFrame:
         """For each partition of keys its source, target, missing, extra and changed records."""

@@ -6,12 +6,12 @@ import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.mapping import ColumnMapping, key_columns, resolve_fields
-from ..functions.structured import looks_structured
+from ..functions.structured import parse_literal
 from ..operators import compare, fixed_width, json_diff, report
 from ..operators.reconcile import MISSING, Reconciliation, multiset_difference
 from ..sources import archives, detect, readers, sniff
@@ -105,17 +105,12 @@ def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt:
 
 
 def complex_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
-    """Columns with a container literal in the first rows."""
-    columns = [c for c in columns if c in df.columns]
-    if not columns:
-        return []
-    rows = df.limit(COMPLEX_ROWS).select(*[F.col(c) for c in columns])
-    maybe = rows.agg(*[F.bool_or(F.trim(F.col(c)).rlike(r"^[\[{(]")).alias(c) for c in columns]).first()
-    maybe = [c for c in columns if maybe[c]]
-    if not maybe:
-        return []
-    sure = rows.agg(*[F.bool_or(looks_structured(F.col(c))).alias(c) for c in maybe]).first()
-    return [c for c in maybe if sure[c]]
+    """Columns with a container literal in the first rows; no more partitions are read than these need."""
+    return _complex(df.limit(COMPLEX_ROWS).collect(), [c for c in columns if c in df.columns])
+
+
+def _complex(rows: Sequence[Row], columns: Sequence[str]) -> list[str]:
+    return [c for c in columns if any(isinstance(parse_literal(r[c]), dict | list | tuple) for r in rows)]
 
 
 def validate(spark: SparkSession, request: Request) -> Result:
@@ -155,10 +150,11 @@ def _tables(spark: SparkSession, request: Request, fmt: str) -> Result:
         c = compare.litmus(s, t).first()
         return _finish(rows, c["source_rows"], c["target_rows"], issues)
     shared = [c for c in s.columns if c in t.columns]
-    fields = resolve_fields(request.column_mappings, keys, shared, complex_columns(s, shared))
+    sample = s.limit(COMPLEX_ROWS).collect()
+    fields = resolve_fields(request.column_mappings, keys, shared, _complex(sample, shared))
     rows = Reconciliation(s, t, keys, fields, on_duplicate=request.on_duplicate).mismatches()
     # rows are counted on their way into the join that makes the summary; a plan over no rows has no such way
-    seen = [None if x.isEmpty() else Observation() for x in (s, t)]
+    seen = [Observation() if rows_there else None for rows_there in (bool(sample), bool(t.take(1)))]
     whole = None not in seen
     counted = [x.observe(o, F.count(F.lit(1)).alias("n")) if whole else x for x, o in zip((s, t), seen, strict=True)]
     c = Reconciliation(*counted, keys, fields, on_duplicate=request.on_duplicate).summary().first().asDict()
