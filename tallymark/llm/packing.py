@@ -134,11 +134,14 @@ class Encoder:
         return len(text) < LONG_RUN or (max(map(len, text.split(" "))) < LONG_RUN and " " * LONG_RUN not in text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Copies, which the curve brings together, are encoded once."""
+        texts, copies = list(dict.fromkeys(texts)), texts
         out: list[bytes | None] = [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() if self.fast is not None and self.plain(t) else None for t in texts]
         rest = [i for i, c in enumerate(out) if c is None]
         for i, code in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(code.ids, "<u4").tobytes()
-        return out
+        known = dict(zip(texts, out, strict=True))
+        return [known[t] for t in copies]
 
 
 #: A Python worker's encoders outlive its tasks.
