@@ -74,11 +74,46 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-@F.arrow_udf(T.LongType())
-def curve_key(texts: pa.Array) -> pa.Array:
-    """Place of each text on the curve; the text itself stays in the JVM."""
-    points = np.array([project(t) for t in texts.to_pylist()], np.int64).reshape(-1, AXES)
-    return pa.array(hilbert(points))
+#: A document's place is its Hilbert key, then so many bits that order documents of one key.
+TIE = 32
+#: Documents of a range at least.
+FEWEST = 16
+#: Sampled places for each range, and in all.
+PLACES, MOST_PLACES = 100, 1_000_000
+PLACED = T.StructType([T.StructField("place", T.LongType()), T.StructField("range", T.IntegerType())])
+
+
+def placed(bounds: np.ndarray):
+    """Place of each text on the curve and the range it is in; the text itself stays in the JVM."""
+
+    @F.arrow_udf(PLACED)
+    def run(texts: pa.Array, ties: pa.Array) -> pa.Array:
+        points = np.array([project(t) for t in texts.to_pylist()], np.int64).reshape(-1, AXES)
+        place = hilbert(points) << TIE | ties.to_numpy(zero_copy_only=False)
+        number = np.searchsorted(bounds, place, side="right").astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(place), pa.array(number)], ["place", "range"])
+
+    return run
+
+
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """id, text in partitions that are ranges of the curve, sorted by place.
+
+    Borders come from a sample of places, as a range exchange's do, but only sampled texts are
+    projected for it. They balance the partitions and decide nothing else.
+    """
+    spark = docs.sparkSession
+    n = docs.count()
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // FEWEST))
+    tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << TIE) - 1))
+    rows = docs.withColumn("tie", tie)
+    share = min(1.0, min(PLACES * parts, MOST_PLACES) / max(1, n))
+    some = rows.sample(share, seed=1) if share < 1 else rows
+    found = some.select(placed(np.empty(0, np.int64))(F.col("text").cast("binary"), "tie")["place"].alias("place")).collect()
+    places = np.sort(np.array([r["place"] for r in found], np.int64))
+    bounds = places[np.arange(1, parts) * len(places) // parts] if len(places) else places
+    rows = rows.withColumn("at", placed(bounds)(F.col("text").cast("binary"), "tie"))
+    return rows.repartitionById(parts, F.col("at.range")).sortWithinPartitions("at.place").select("id", "text")
 
 
 def _bytes_of(token: str, char_bytes: dict[str, int]) -> bytes:
@@ -240,6 +275,5 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end: int = 0, doc_i
         raise ValueError("the width of a sequence must be a power of two")
     texts_to_python(docs)
     kind = docs.schema[doc_id].dataType.simpleString()
-    keyed = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).withColumn("key", curve_key(F.col("text").cast("binary")))
-    ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("id", "text")
+    ordered = in_ranges(docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")))
     return ordered.mapInArrow(packer(tokenizer, width, end), f"id {kind}, " + ", ".join(f"{c} long" for c in NAMES[1:]))
