@@ -169,6 +169,7 @@ def typed(c: Column, type_name: str, fold_case: bool = False) -> Column:
 
 # --- transforms -------------------------------------------------------------
 
+# Fixed value: the form of a SQL call whose pattern and replacement are taken.
 _SQL_REPLACE = re.compile(r"regexp_replace\s*\([^,]+,\s*'((?:\\'|[^'])*)'\s*,\s*'((?:\\'|[^'])*)'", re.I)
 
 

@@ -10,17 +10,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of our own, by application.
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own, removed at the end, only where that is unset and Spark runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and spark.sparkContext.master.split("[")[0] != "local":
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if sc.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not root:
-        own = tempfile.mkdtemp(prefix="tallymark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="tallymark-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
+    return f"file://{_OWN[sc.applicationId]}"
 
 
 def _folder(spark: SparkSession) -> str:
