@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import batches, fold, save, text_or_empty, texts_to_python
 
 #: Bounds of the training sample and of the model.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 2048
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 512
 SPACE = 1 << 20
 #: The largest deviation that chance alone gives among so many pieces, in standard deviations.
 CHANCE = math.sqrt(2 * math.log(SPACE))
@@ -44,6 +44,25 @@ def words(text: str) -> set[str]:
     return set(text.lower().split())
 
 
+def _sketch(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two min-hashes of each text's word triples: near copies share at least one of them nearly always."""
+    for batch in batches(rows, 256):
+        a, b = [], []
+        for t in batch.column("text").to_pylist():
+            w = t.lower().encode().split()
+            h = np.fromiter(map(zlib.crc32, map(b" ".join, zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else [b" ".join(w)]), np.uint64)
+            a.append(int(h.min()))
+            b.append(int((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).min()))
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("text"), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["positive", "text", "a", "b"])
+
+
+def one_of_each(sample: DataFrame) -> DataFrame:
+    """positive, text without near copies: a text that is copied into many examples would make its own words look toxic."""
+    rows = sample.mapInArrow(_sketch, "positive boolean, text string, a long, b long")
+    rows = rows.groupBy("positive", "a").agg(F.min(F.struct("b", "text")).alias("r")).select("positive", "r.b", "r.text")
+    return rows.groupBy("positive", "b").agg(F.min("text").alias("text")).select("text", "positive")
+
+
 def _frequencies(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many positive and unlabelled documents of the partition each piece is."""
     counts, memory = np.zeros((2, SPACE), np.int32), {}
@@ -99,8 +118,9 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(max(z, -50.0), 50.0))))
 
 
-def train(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, prior_strength: float = 0.03) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) of the logistic loss, by Adam."""
+    l2 = prior_strength / max(1, len(xp))  # a fixed prior on the weights, so a small sample is held back more
     w = np.zeros(xp.shape[1] + 1, np.float64)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -133,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     positive = by_hash(known.where("y = 1").select(doc_id)).limit(MAX_POSITIVE).withColumn("positive", F.lit(True))
     plain = by_hash(open_rows(docs.select(docs[doc_id]), doc_id)).limit(MAX_UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(positive.unionByName(plain))  # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    sample = save(docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).join(chosen, F.col("id") == F.col(doc_id)).select("text", "positive").distinct(), "sample")
+    found = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).join(chosen, F.col("id") == F.col(doc_id)).select("text", "positive")
+    sample = save(one_of_each(found), "sample")
     n = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = n.get(True, 0), n.get(False, 0)
     if not n_p or not n_u:
