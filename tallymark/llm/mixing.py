@@ -3,8 +3,9 @@
 A source's target over its size is the expected number of times that each of its documents is
 taken: a whole part, which is taken for sure, and a fraction. Fractions move through the
 null-space of two constraints, the number of documents and of words, until they are 0 or 1.
-The flight works on blocks of at most BLOCK documents of a source; the two or three documents a block
-cannot decide fly again in blocks of their own, round by round, and the last ones of a source land.
+The flight works on blocks of at most BLOCK documents of a source. What a block cannot decide, and
+HELD documents of it with sizes like the powers of two, fly again in blocks of their own, round by
+round. The last dozen of a source land together: of all ways to take them, the one whose words come nearest.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, group_bounds, ranked, save, sorted_groups, text_or_empty
 
 BLOCK = 1024
-#: Blocks that meet in one block of the next round; each leaves two documents at most.
-MERGED = BLOCK // 2
+#: Documents that a block holds back for the next round, and for the landing.
+HELD, LANDED = 6, 11
+#: Blocks that meet in one block of the next round; each leaves two documents at most besides those held.
+MERGED = BLOCK // (HELD + 2)
 SURE = 1e-9
 
 
@@ -45,9 +48,32 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, ceilin
     return s.select("source", "source_size", "order", F.least(F.col("w") * scale, F.col("most")).alias("target"))
 
 
-def flight(size: np.ndarray, p: np.ndarray, seed: int, land: bool) -> np.ndarray:
-    """Moves the fractions ``p`` to 0 or 1 while their sum and their sum of sizes stay; at most two stay undecided, none if ``land``."""
-    p, size = p.astype(float).tolist(), size.astype(float).tolist()
+def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """0 or 1 for each of a few fractions: the sum of sizes comes as near as it can, then the sum."""
+    taken = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
+    words, count = np.abs(taken @ size - p @ size), np.abs(taken.sum(1) - p.sum())
+    return taken[np.lexsort((count.round(6), words.round(6)))[0]].astype(float)
+
+
+def ladder(size: np.ndarray, rows: np.ndarray, k: int) -> list[int]:
+    """k of ``rows`` whose sizes are near the largest one, its half, its quarter and so on: with them any gap can nearly be filled."""
+    left = rows[np.lexsort((rows, size[rows]))].tolist()
+    top, out = float(size[left[-1]]) if left else 0.0, []
+    for j in range(min(k, len(left))):
+        i = min(range(len(left)), key=lambda i: abs(size[left[i]] - top / 2**j))
+        out.append(left.pop(i))
+    return out
+
+
+def flight(size: np.ndarray, p: np.ndarray, seed: int, land: bool, hold: int = HELD) -> np.ndarray:
+    """Moves the fractions ``p`` to 0 or 1 while their sum and their sum of sizes stay.
+
+    At most two stay undecided besides a ladder of ``hold``, which are left as they are; none if ``land``.
+    """
+    sizes, part = size.astype(float), p.astype(float)
+    open_ = np.flatnonzero((part > 0) & (part < 1))
+    held = set(ladder(sizes, open_, LANDED if land else hold))
+    p, size = part.tolist(), sizes.tolist()
     draw = iter(np.random.default_rng(seed).random(2 * len(p) + 8).tolist())
     active: list[int] = []
 
@@ -67,19 +93,16 @@ def flight(size: np.ndarray, p: np.ndarray, seed: int, land: bool) -> np.ndarray
         active[:] = [i for i in active if 0 < p[i] < 1]
 
     for i in range(len(p)):
-        if not 0 < p[i] < 1:
+        if not 0 < p[i] < 1 or i in held:
             continue
         active.append(i)
         if len(active) == 3:
             a, b, c = (size[j] for j in active)
             step([b - c, c - a, a - b] if not a == b == c else [1.0, -1.0, 0.0])
-    if land:
-        if len(active) == 2:  # the number of documents is let go first
-            a, b = (size[j] for j in active)
-            step([b, -a] if a and b else [1.0, -1.0] if a == b else [float(not a), float(not b)])
-        while active:
-            step([1.0, *[0.0] * (len(active) - 1)])
-    return np.array(p)
+    out = np.array(p)
+    if land and (rest := sorted({*active, *held})):
+        out[rest] = landing(sizes[rest], out[rest])
+    return out
 
 
 def _fly(land: bool, number: int):
