@@ -27,20 +27,23 @@ MAX_VOTERS, RANK, NEIGHBOURS, POWER = 2048, 32, 15, 4
 #: Terms: shapes by hash, then the repeated word, then ten steps of the share of different words.
 SHAPES = 512
 TERMS = SHAPES + 11
-MEMORY = 150_000
+#: Words a worker remembers, and the longest of them; longer ones are looked at as a whole each time.
+MEMORY, LONGEST = 150_000, 64
 _RUNS = re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> int:
-    """The word's shape as a term: a letter's case, a digit or the mark itself; runs count once."""
-    marks = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    """The whole word's shape as a term: a letter's case, a digit or the mark itself; runs count once."""
+    marks = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return zlib.crc32(_RUNS.sub(r"\1", marks).encode()) % SHAPES
 
 
 class Shapes(dict):
-    """Word to term; forgets all when it is full."""
+    """Word to term; forgets all when it is full, and never holds a word over LONGEST."""
 
     def __missing__(self, word: str) -> int:
+        if len(word) > LONGEST:
+            return shape(word)
         if len(self) >= MEMORY:
             self.clear()
         out = self[word] = shape(word)

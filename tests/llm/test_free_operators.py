@@ -379,6 +379,17 @@ def test_quality_on_held_out_rows(spark):
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter(r["id"] for r in out if r["score"] >= 0.3)
 
 
+def test_shapes_are_of_whole_words():
+    """A text without blanks is one word; what comes after its first 64 characters counts too."""
+    letters = "plain" * 13
+    junk = letters + "!?#" * 1200
+    assert quality_votes.shape(letters) != quality_votes.shape(junk)
+    assert (quality_votes.term_vector(letters) != quality_votes.term_vector(junk)).any()
+    shapes = quality_votes.Shapes()
+    assert shapes[junk] == quality_votes.shape(junk) and junk not in shapes
+    assert shapes["word"] == quality_votes.shape("word") and "word" in shapes
+
+
 def test_quality_without_voters(spark):
     docs, _ = labelled(spark, lambda w, rng: " ".join(w), 30)
     none = spark.createDataFrame([], "doc_id long, quality int")
