@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import exact_dedup, mixing, packing, quality_votes, queries, simhash
+from tallymark.llm import exact_dedup, mixing, near_copies as near, packing, quality_votes, queries
 from tallymark.llm.common import read_table, save
 
 #: Documents with a lower quality score go.
@@ -28,8 +28,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each component of near copies: a similarity of 0.8 or more of five-word shingles."""
+    return near.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

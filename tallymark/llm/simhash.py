@@ -30,11 +30,11 @@ SHARD = 20_000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """64 bits, each set if it is set in over half of the shingles' XXH64; zero without words. Signed."""
+def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every run of ``width`` words, of all words if there are fewer; empty without words."""
     words = text.lower().split()  # on bytes: A-Z and ASCII blanks only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -42,12 +42,17 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    h64, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        pairs = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        h = np.array([h64(line[a:b], SEED) for a, b in pairs], dtype="<u8")
+    h64 = xxhash.xxh64_intdigest
+    return np.fromiter((h64(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """64 bits, each set if it is set in over half of the shingles' XXH64; zero without words. Signed."""
+    found, total = shingles(text, width), np.zeros(64, np.int64)
+    for at in range(0, len(found), CHUNK):
+        h = found[at : at + CHUNK].astype("<u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(total * 2 > len(starts), bitorder="little")
+    bits = np.packbits(total * 2 > len(found), bitorder="little")
     return int(bits.view("<i8")[0])
 
 

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tallymark.llm import queries
+from tallymark.llm import near_copies, queries
 
 from .test_free_operators import brute_components, brute_print
 from .test_native_operators import norm
@@ -89,3 +89,56 @@ def test_registered(spark):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n in __spark_entry__.queries() if n.startswith("op")] == sorted((n for n in __spark_entry__.queries() if n.startswith("op")), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def five_words(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_groups(texts, least=0.8):
+    root, sets = list(range(len(texts))), [five_words(t) for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_near_copies_are_those_with_similar_five_word_shingles(spark):
+    """Texts with a few changed words, most of them over three bits apart; rows without an id decide by themselves."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    made = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(40, 300))]
+        made.append(" ".join(base))
+        for share in (0.01, 0.02, 0.03):
+            made.append(" ".join(word() if rng.random() < share else x for x in base))
+    made += ["a b c", "A  b c", "a b", None, "", "  "]
+    ids = list(range(len(made)))
+    no_id = [word() for _ in range(90)]
+    made += [" ".join(no_id), " ".join([*no_id[:45], "other", *no_id[46:]]), " ".join(word() for _ in range(80))]
+    ids += [None] * 3
+    docs = spark.createDataFrame(list(zip(ids, made, strict=True)), "doc_id long, text string").repartition(3)
+    out = near_copies.keep_one(docs)
+    assert out.columns == docs.columns
+    root = brute_groups(made)
+    got = collections.Counter(r["doc_id"] for r in out.collect())
+    assert got == collections.Counter(ids[i] for i in set(root)) and got[None] == 2
+    assert len(set(root)) < len(made) - 60
+
+
+def test_every_pair_of_a_group_counts():
+    rng = np.random.default_rng(0)
+    base = np.arange(400, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(400) < share, rng.integers(1000, 10**6, 400), base).astype(np.uint64)) for share in np.linspace(0, 0.4, 60)]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(a, sets[j]))
+            if 5 * shared >= 4 * (len(a) + len(sets[j]) - shared) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert near_copies.linked(sets).tolist() == root
