@@ -25,16 +25,14 @@ MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 512
 SPACE = 1 << 20
 #: The largest deviation that chance alone gives among so many pieces, in standard deviations.
 CHANCE = math.sqrt(2 * math.log(SPACE))
-#: Words a worker remembers.
-MEMORY = 300_000
+#: Words a worker remembers, and the longest of them in characters; longer ones are looked at as a whole each time.
+MEMORY, LONGEST = 300_000, 128
 
 
 def pieces(word: str) -> set[int]:
     """The word and its pieces of four to seven bytes, as numbers below SPACE."""
     w, crc = f"<{word}>".encode(), zlib.crc32
     n = len(w)
-    if n > 128:
-        return {crc(w[i : i + 6]) & (SPACE - 1) for i in range(n - 5)}
     out = {crc(w[i : i + k]) & (SPACE - 1) for k in (4, 5, 6, 7) for i in range(n - k + 1)}
     out.add(crc(w) & (SPACE - 1))
     return out
@@ -71,9 +69,11 @@ def _frequencies(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: set[int] = set()
             for w in words(t):
                 if (p := memory.get(w)) is None:
+                    p = pieces(w)
                     if len(memory) >= 50_000:
                         memory.clear()
-                    p = memory[w] = pieces(w)
+                    if len(w) <= LONGEST:
+                        memory[w] = p
                 found |= p
             counts[0 if positive else 1, list(found)] += 1
     at = np.flatnonzero(counts.any(0))
@@ -83,7 +83,7 @@ def _frequencies(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Memory(dict):
-    """Word to its chosen pieces; forgets all when it is full."""
+    """Word to its chosen pieces; forgets all when it is full, and never holds a word over LONGEST."""
 
     def __init__(self, chosen: dict[int, int]):
         super().__init__()
@@ -93,7 +93,9 @@ class Memory(dict):
         if len(self) >= MEMORY:
             self.clear()
         chosen = self.chosen
-        out = self[word] = tuple(chosen[p] for p in pieces(word) if p in chosen)
+        out = tuple(chosen[p] for p in pieces(word) if p in chosen)
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
 

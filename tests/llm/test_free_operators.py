@@ -352,6 +352,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["score"] < 0.7 for r in out if r["id"] in (1500, 1501))
 
 
+def test_pieces_of_words_of_any_size():
+    """Glued or unspaced text is one long word: it has the pieces of all lengths and itself, as a short one has."""
+    for long in ("a_nice.stone_" * 30 + "zwidd_", "日本語" * 20 + "zwidd" + "日本語" * 20):
+        w = f"<{long}>".encode()
+        assert len(w) > 128
+        want = {zlib.crc32(w[i : i + k]) % toxicity.SPACE for k in (4, 5, 6, 7) for i in range(len(w) - k + 1)} | {zlib.crc32(w) % toxicity.SPACE}
+        assert toxicity.pieces(long) == want
+        scorer = toxicity.Scorer({zlib.crc32(b"zwidd") % toxicity.SPACE: 0})
+        assert scorer.features(f"so {long}") == {0}
+    memory = toxicity.Memory({})
+    assert memory["x" * 1000] == () and memory["x"] == () and list(memory) == ["x"]
+
+
 def test_toxicity_without_examples(spark):
     docs, labels = labelled(spark, lambda w, rng: " ".join(w), 60)
     none = spark.createDataFrame([(i, 0) for i, _ in labels], "doc_id long, toxic int")
