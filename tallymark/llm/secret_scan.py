@@ -5,7 +5,8 @@ encoding is inferred (the smallest alphabet that holds the run), and three tests
 as symbols of that alphabet: chi-squared uniformity, the number of runs of character classes,
 and lag-one serial correlation. Uniformity and serial correlation must not speak against a
 random string; the runs test must speak against ordinary writing, in which the class changes
-at a known low rate, so its p-value falls with the length. Benjamini-Hochberg over all
+at a known low rate, so its p-value falls with the length; a run of one class has p-value 1 and
+counts among the candidates like any other. Benjamini-Hochberg over all
 candidates of the corpus, apart for each length class, sets the p-value up to which they count.
 """
 
@@ -78,8 +79,6 @@ def battery(s: str) -> float | None:
         return None
     kind = (codes >= 48) & (codes <= 57), (codes >= 65) & (codes <= 90), (codes >= 97) & (codes <= 122)
     kind = kind[0] + 2 * kind[1] + 3 * kind[2]
-    if len(np.unique(kind)) < 2:
-        return None
     _, ranks = np.unique(codes, return_inverse=True)
     d = ranks - ranks.mean()
     power = float((d * d).sum())
@@ -98,7 +97,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         at, s = run.start(), run[0]
         base += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(s) if m.end() - m.start() >= 20] if "AKIA" in s else []
         base += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(s) if m.end() - m.start() >= 24]
-        if any(c.isdigit() for c in s) and (p := battery(s)) is not None:
+        if (p := battery(s)) is not None:
             found.append((at, at + len(s), sum(len(s) >= x for x in LENGTHS), min(BINS - 1, int(p * 10))))
     base.sort()
     return base, [c for c in found if not any(b[0] < c[1] and c[0] < b[2] for b in base)]

@@ -129,6 +129,15 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert out[SECRETS.index("internationalizationandlocalization")] == "" and out[SECRETS.index("2026-01-01-report-final-version-two-of-the-year")] == ""
 
 
+def test_random_letters_without_digits_are_found(spark):
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40)) for _ in range(5)]
+    out = {r["id"]: r["spans"] for r in secret_scan.scan_secrets(spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate([*keys, "internationalizationandlocalization"])], "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(6)] == ["random:4:44"] * 5 + [""]
+    # a run of one class is no find, but it counts among the candidates
+    assert secret_scan.battery("thequickbrownfoxjumps") == 0.0 and len(secret_scan.spans("thequickbrownfoxjumps")[1]) == 1
+
+
 def test_battery_rejects_patterns():
     assert secret_scan.battery("ab1" * 12) is None
     assert secret_scan.battery("a" * 30) is None
