@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +14,46 @@ from ..sources.scratch import save, scratch_root
 
 #: Fixed value: the white space of every contract, as a Java and Python character class body.
 BLANKS = r"\x20\x09-\x0D"
+#: Bytes of texts that a Python worker turns into strings at once. Spark itself bounds what crosses at once (64 MB).
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_to_python(docs: DataFrame) -> None:
-    """Texts are long: at most 1,000 of them cross to Python at once, unless the session has a size of its own.
+def is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a plain scan of files, whose rows have a place that no later run changes."""
+    return docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation")
 
-    The size is read when a plan is made, so it is the session's; other operators put batches together as they need.
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def placed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart, a long, and its name.
+
+    Rows of a scan of Parquet files have a place already, the file and the number in it, which is the same
+    in every run. The rows of any other plan are written first, as they may come in another order when a lost task runs again.
     """
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, "1000")
+    row = fresh(docs, "_row")
+    if is_scan(docs) and fresh(docs, "_metadata") == "_metadata":
+        file, number = fresh(docs, "_file"), fresh(docs, "_number")
+        try:
+            rows = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        except AnalysisException:
+            rows = None  # files of another format have no row numbers
+        if rows is not None:
+            files = save(rows.select(file).distinct().withColumn(number, F.row_number().over(Window.orderBy(file)).cast("long")), "files")
+            # a row a file: fewer than the driver holds for the scan itself
+            rows = rows.join(F.broadcast(files), file)
+            return rows.withColumn(row, F.shiftleft(number, 40).bitwiseOR(F.col(row))).drop(file, number), row
+    return save(docs.withColumn(row, F.monotonically_increasing_id()), "placed"), row
 
 
 def blocks(rows: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -55,11 +82,17 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
-def batches(rows: Iterable[pa.RecordBatch], limit: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` rows."""
+def batches(rows: Iterable[pa.RecordBatch], limit: int = 2048, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``limit`` rows and, but for single larger rows, of at most ``size`` bytes."""
     for batch in rows:
-        for at in range(0, batch.num_rows, limit):
-            yield batch.slice(at, limit)
+        todo = [batch.slice(at, limit) for at in range(0, batch.num_rows, limit)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def sorted_groups(rows: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -98,6 +131,22 @@ def group_bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(change))
 
 
+#: Keys with more rows than this, or than their share of all rows would be if there were HOT_KEYS of them, are hot: at most HOT_KEYS keys.
+HOT, HOT_KEYS = 10_000, 1 << 16
+
+
+def beside_groups(rows: DataFrame, groups: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``, a row a key, of which ``n`` is the number of rows.
+
+    The rows of hot keys stay where they are and their groups are broadcast, at most HOT_KEYS of
+    them, as each has more than that share of all rows; all other rows are shuffled by key.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HOT, total // HOT_KEYS)
+    few = F.broadcast(groups.where(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key, how))
+
+
 def ranked(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``_rank`` from 0 in the order given: rows are range-sorted, and a table with a row per range says where each begins."""
     s = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
@@ -109,4 +158,4 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return s.withColumn("_range", F.shiftright("_at", 33)).join(parts, "_range").withColumn("_rank", F.col("_before") + low).drop("_range", "_before", "_at")
 
 
-__all__ = ["BLANKS", "batches", "blocks", "fold", "group_bounds", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty", "texts_to_python"]
+__all__ = ["BLANKS", "batches", "beside_groups", "blocks", "fold", "fresh", "group_bounds", "placed_rows", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, group_bounds, ranked, save, sorted_groups, text_or_empty
+from .common import BLANKS, fresh, group_bounds, placed_rows, ranked, save, sorted_groups, text_or_empty
 
 BLOCK = 1024
 #: Documents that a block holds back for the next round, and for the landing.
@@ -117,18 +117,29 @@ def _fly(land: bool, number: int):
     return run
 
 
+#: At most so many rows say how often a row is taken by broadcast; more are brought to their texts by a merge join.
+MAX_BROADCAST = 1 << 20
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per input row: ``id, source, size, source_size, target, copies``; the mix takes a document ``copies`` times.
 
-    Size is the number of words of the text (null: none). Null is a source of its own, the last.
+    Size is the number of words of the whole text (null: none). Null is a source of its own, the last.
     Sources without words have target 0. Repeated rows are drawn each by itself. Reruns agree:
-    documents are numbered by a hash of their id, and equal rows are interchangeable.
+    documents are numbered by a hash of their id, and equal rows are interchangeable. An empty table
+    gives no rows. Other columns of ``docs`` are not read, whatever their names.
     """
+    return _mix(docs, None, weights, share, ceiling, doc_id, text, source).drop("order")
+
+
+def _mix(docs: DataFrame, row: str | None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix; ``row`` names a column that goes with each row, as ``at``."""
     size = F.regexp_count(text_or_empty(docs[text]), F.lit(f"[^{BLANKS}]+")).cast("long")
-    base = save(docs.select(docs[doc_id].alias("id"), docs[source].cast("string").alias("source"), size.alias("size")), "sizes")
+    base = save(docs.select(docs[doc_id].alias("id"), docs[source].cast("string").alias("source"), size.alias("size"), *([docs[row].alias("at")] if row else [])), "sizes")
+    more = ["at"] if row else []
     goal = save(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, ceiling), "targets")
-    rows = ranked(base.withColumn("_null", F.col("source").isNull()).withColumn("_h", F.xxhash64("id")), "_null", "source", "_h", "id", "size")
-    rows = save(rows.select("id", "source", "size", "_rank"), "numbered")
+    rows = ranked(base.withColumn("_null", F.col("source").isNull()).withColumn("_h", F.xxhash64("id")), "_null", "source", "_h", "id", "size", *more)
+    rows = save(rows.select("id", "source", "size", "_rank", *more), "numbered")
     # the first number of each source: a row a source
     first = rows.groupBy("source").agg(F.min("_rank").alias("first")).withColumnRenamed("source", "of")
     goal = save(goal.join(first, F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), "order", "source_size", "target", "first"), "goal")
@@ -136,7 +147,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     near = F.when(F.abs(times - F.round(times)) < SURE, F.round(times)).otherwise(times)
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).withColumn("times", near)
     # the number of blocks of a source is known from its last number
-    rows = rows.select("id", "order", F.floor((F.col("_rank") - F.col("first")) / BLOCK).cast("long").alias("block"), "_rank", "size", F.floor("times").cast("long").alias("whole"), (F.col("times") - F.floor("times")).alias("part"))
+    rows = rows.select("id", "order", F.floor((F.col("_rank") - F.col("first")) / BLOCK).cast("long").alias("block"), "_rank", "size", F.floor("times").cast("long").alias("whole"), (F.col("times") - F.floor("times")).alias("part"), *more)
     left, done, number = rows, [], 0
     while True:
         last = number > 0 and (left.agg(F.max("block")).first()[0] or 0) == 0
@@ -150,14 +161,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.select("id", "order", "size", (F.col("whole") + F.col("part").cast("long")).alias("copies"))
-    return out.join(goal, "order").select("id", F.col("of").alias("source"), "size", "source_size", "target", "copies")
+    out = out.select("id", "order", "size", (F.col("whole") + F.col("part").cast("long")).alias("copies"), *more)
+    return out.join(goal, "order").select("id", F.col("of").alias("source"), "size", "source_size", "target", "copies", "order", *more)
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how: object) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, all columns kept. The id names the document."""
-    taken = mix(docs, doc_id=doc_id, text=text, source=source, **how).where("copies > 0")
-    taken = save(taken.groupBy(F.col("id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")), "taken")
-    # by merging at every size: what is taken grows with the documents
-    out = docs.join(taken.hint("merge"), docs[doc_id].eqNullSafe(taken["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it, all columns kept, whatever their types and names.
+
+    Rows are told apart by their place, so repeated rows, rows without an id or with one in common are
+    drawn each by itself, and nulls, empty and long texts, ties and an empty table are as in ``mix``. How often
+    a row is taken is decided on narrow rows. What most rows of its source have is known from a row a source, and
+    only the other rows' numbers go to the texts: by broadcast up to MAX_BROADCAST rows, else by a merge join.
+    """
+    rows, row = placed_rows(docs)
+    of, usual, own, n = (fresh(rows, c) for c in ("_of", "_usual", "_own", "_n"))
+    drawn = save(_mix(rows, row, doc_id=doc_id, text=text, source=source, **how).select("source", "copies", "at"), "drawn")
+    most = drawn.groupBy("source", "copies").count().groupBy("source").agg(F.max_by("copies", F.struct("count", "copies")).alias(usual))
+    most = save(most.withColumnRenamed("source", of), "usual")
+    odd = drawn.join(most, F.col("source").eqNullSafe(F.col(of))).where(F.col("copies") != F.col(usual))
+    odd = save(odd.select(F.col("at").alias(row), F.col("copies").cast("int").alias(own)), "odd")
+    odd = F.broadcast(odd) if odd.count() <= MAX_BROADCAST else odd.hint("merge")
+    taken = rows.withColumn(n, F.col(source).cast("string")).join(most, F.col(n).eqNullSafe(F.col(of)))
+    taken = taken.join(odd, row, "left").withColumn(n, F.coalesce(own, usual).cast("int")).where(F.col(n) > 0)
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[f"`{c}`" for c in docs.columns])

@@ -1,17 +1,20 @@
 """Approximate nearest neighbours with a hash-prefix forest (Bawa, Condie and Ganesan, 2005).
 
-Vectors are indexed in blocks. A block has TREES sorted arrays of long hash strings, the signs
-of random projections. A query descends every array to its longest matching prefix and then
-ascends all arrays together to shorter ones, scoring what it meets. It stops at the prefix
-length at which a vector as near as its k-th best so far would have been met with the wanted
-chance; so there is no cap on candidates, and a query without near vectors goes up to the root.
-Scores are exact cosines of the original vectors.
+Vectors are indexed in blocks. A block has TREES sorted arrays of hash strings of LENGTH bits, the
+signs of random projections. A query descends every array by binary search to its longest matching
+prefix, and then ascends all arrays together: at each prefix length the stretches that share it are
+met, and what is new in them is scored. How far it goes is set by the wanted recall: it stops at the
+prefix length at which a vector as near as its k-th best so far would have been met in some tree with
+that chance. So the number of candidates follows from the data and has no cap: near neighbours end the
+ascent after few of them, and a query without any goes up to the root. Scores are exact cosines of the
+original vectors.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, save
 
-TREES, LENGTH, SEED = 16, 32, 7
-LEVELS = (24, 20, 16, 13, 11, 9, 8, 7, 6, 5, 4, 3, 2)
-#: Queries that are broadcast at once; a chunk is at most CHUNK * dimensions * 8 bytes.
-CHUNK = 1 << 15
-BLOCK = 8192
+TREES, LENGTH, SEED = 64, 32, 7
+#: Bytes of query vectors that are broadcast at once; more queries are searched chunk by chunk.
+CHUNK_BYTES = 16 << 20
+BLOCK = 1 << 15
 SAME = 1e-12
 
 
@@ -40,135 +42,146 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Sorted arrays of one block's hash strings."""
-
-    def __init__(self, unit_rows: np.ndarray):
-        self.planes = np.random.default_rng(SEED).standard_normal((unit_rows.shape[1], TREES * LENGTH))
-        h = self.hashes(unit_rows)
-        self.order = np.argsort(h, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(h, self.order, 0)
-
-    def hashes(self, rows: np.ndarray) -> np.ndarray:
-        bits = (rows @ self.planes > 0).reshape(len(rows), TREES, LENGTH)
-        return bits @ (1 << np.arange(LENGTH - 1, -1, -1, dtype=np.int64))
-
-    def ranges(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each query (row) and tree the stretch of the array with the query's prefix of this length."""
-        low = h >> (LENGTH - length) << (LENGTH - length)
+    """The sorted arrays of one block: of each tree its hash strings in order, and which row each one is of."""
+
+    def __init__(self, rows: np.ndarray):
+        self.planes = np.random.default_rng(SEED).standard_normal((rows.shape[1], TREES * LENGTH)).astype(np.float32)
+        strings = self.strings(rows)
+        self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(strings, self.order, 1)
+
+    def strings(self, rows: np.ndarray) -> np.ndarray:
+        """Of each tree (row) the hash string of each vector, as a number."""
+        out = np.empty((TREES, len(rows)), np.int64)
+        for at in range(0, len(rows), 2048):
+            bits = (rows[at : at + 2048].astype(np.float32) @ self.planes > 0).reshape(-1, TREES, LENGTH)
+            out[:, at : at + 2048] = np.packbits(bits, axis=2).view(">u4")[:, :, 0].T
+        return out
+
+    def longest(self, strings: np.ndarray) -> np.ndarray:
+        """Of each query the length of its longest match in any tree: one of the neighbours of its place in the sorted array has it."""
+        out = np.zeros(strings.shape[1], np.int64)
+        for mine, theirs in zip(strings, self.sorted, strict=True):
+            at = np.searchsorted(theirs, mine)
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(theirs) - 1)):
+                out = np.maximum(out, LENGTH - np.frexp((mine ^ theirs[near]).astype(float))[1])
+        return out
+
+    def stretches(self, strings: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each tree and query where the strings begin and end that share the query's prefix of its ``length``."""
+        low = strings >> (LENGTH - length) << (LENGTH - length)
         high = low + (1 << (LENGTH - length))
-        at = [(np.searchsorted(self.sorted[:, t], low[:, t]), np.searchsorted(self.sorted[:, t], high[:, t])) for t in range(TREES)]
-        return np.stack([a for a, _ in at], 1), np.stack([b for _, b in at], 1)
+        return tuple(np.stack([np.searchsorted(a, x) for a, x in zip(self.sorted, side, strict=True)]) for side in (low, high))
 
+    def met(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which rows are in a stretch of some tree."""
+        out = np.zeros(self.order.shape[1], bool)
+        for t in np.flatnonzero(end > begin):
+            out[self.order[t, begin[t] : end[t]]] = True
+        return out
 
-def enough(score: float, chance: float) -> float:
-    """The prefix length at which a vector of this cosine shares a prefix in some tree with the wanted chance; at a shorter one all the more."""
+
+def enough(score: float, recall: float) -> int:
+    """The longest prefix that a vector of this cosine shares with a query in some tree with the wanted chance; shorter ones all the more."""
     if score >= 1 - 1e-12:
         return LENGTH
     p = 1 - math.acos(max(-1.0, score)) / math.pi
-    return math.log(1 - (1 - chance) ** (1 / TREES)) / math.log(p) if p > 0 else 0
+    return max(0, min(LENGTH, math.floor(math.log(1 - (1 - recall) ** (1 / TREES)) / math.log(p)))) if p > 0 else 0
 
 
 class Best:
-    """The k best of one query so far; ties go to the smaller id."""
+    """The k best rows for one query id so far; ties go to the smaller id. ``row`` tells candidates apart."""
 
     def __init__(self, k: int):
-        self.k, self.score, self.id = k, np.empty(0), np.empty(0, np.int64)
-
-    def add(self, query: np.ndarray, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray | None = None) -> None:
-        """scores: of all rows, rough to rounding; those that may count are computed again, each by itself."""
-        if scores is not None:
-            kth = self.score[-1] if len(self.score) == self.k else -np.inf
-            if len(scores) > self.k:
-                kth = max(kth, np.partition(scores, -self.k)[-self.k])
-            near = np.flatnonzero(scores >= kth - SAME)
-            rows, ids = rows[near], ids[near]
-        s = (rows * query).sum(1)
-        s, i = np.append(self.score, s), np.append(self.id, ids)
-        order = np.lexsort((i, -s))[: self.k]
-        self.score, self.id = s[order], i[order]
+        self.k, self.score, self.id, self.row = k, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, query: np.ndarray, rows: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> None:
+        """Products of all rows are rough to rounding; those that may count are computed again, each by itself."""
+        rough = rows @ query
+        kth = max(self.kth, np.partition(rough, -self.k)[-self.k]) if len(rough) > self.k else self.kth
+        near = np.flatnonzero(rough >= kth - SAME)
+        s, i, r = np.append(self.score, (rows[near] * query).sum(1)), np.append(self.id, ids[near]), np.append(self.row, numbers[near])
+        order = np.lexsort((r, i, -s))
+        _, first = np.unique(r[order], return_index=True)  # a row that several vectors of the query id meet counts once, by the nearest
+        order = order[np.sort(first)][: self.k]
+        self.score, self.id, self.row = s[order], i[order], r[order]
 
     @property
     def kth(self) -> float:
         return float(self.score[-1]) if len(self.score) == self.k else -1.0
 
 
-def search_block(best: list[Best], q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, chance: float) -> int:
-    """Looks for every query in one block of unit rows. Returns how many rows were scored."""
+def search_block(best: dict[int, Best], q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, recall: float, first: int = 0) -> int:
+    """Looks for every query in one block of unit rows, the numbers of which begin at ``first``. Returns how many rows were scored."""
     forest, scored = Forest(rows), 0
-    h = forest.hashes(queries)
-    met: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
+    strings = forest.strings(queries)
+    length = forest.longest(strings)
+    done: dict[int, np.ndarray] = {}
     active = np.arange(len(queries))
-    for length in LEVELS:
-        lo, hi = forest.ranges(h[active], length)
-        wide = (hi - lo).sum(1)
+    while len(active):
+        begin, end = forest.stretches(strings[:, active], length[active])
         rest = []
-        for n, q in enumerate(active):
-            if wide[n] * 2 > len(rows):  # most of the block is met; it is scored as a whole below
-                rest.append(q)
-                continue
-            found = np.unique(np.concatenate([forest.order[a:b, t] for t, (a, b) in enumerate(zip(lo[n], hi[n], strict=True))]))
-            new = np.setdiff1d(found, met[q], assume_unique=True)
-            met[q] = found
-            new = new[ids[new] != q_ids[q]]
+        for n, q in enumerate(active.tolist()):
+            met = forest.met(begin[:, n], end[:, n])
+            new = met & ~done[q] if q in done else met
+            new = np.flatnonzero(new & (ids != q_ids[q]))
+            own = best[int(q_ids[q])]
             if len(new):
                 scored += len(new)
-                best[q].add(queries[q], rows[new], ids[new])
-            if length > enough(best[q].kth, chance):
+                own.add(queries[q], rows[new], ids[new], first + new)
+            goal = enough(own.kth, recall)
+            if length[q] > goal:
+                # half of the way, as a better k-th best on it ends the ascent earlier
+                length[q] -= max(1, (length[q] - goal) // 2)
+                done[q] = met
                 rest.append(q)
+            else:
+                done.pop(q, None)
         active = np.array(rest, np.int64)
-        if not len(active):
-            break
-    for at in range(0, len(active), 256):
-        part = active[at : at + 256]
-        dots = queries[part] @ rows.T
-        for n, q in enumerate(part):
-            # met ones and the query itself are not counted twice
-            dots[n, met[q]] = -np.inf
-            dots[n, ids == q_ids[q]] = -np.inf
-            ok = np.isfinite(dots[n])
-            if ok.any():
-                scored += int(ok.sum())
-                best[q].add(queries[q], rows[ok], ids[ok], dots[n][ok])
     return scored
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, chance: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``query_id, rank`` (from 1), ``vec_id, score``: each query's k nearest found by cosine, ties to the smaller id.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do
     rows without an id. A query's candidates are all rows of other ids and of its own number of
-    components; if there are fewer than k, all are given. Rows that share an id are candidates each by itself.
+    components; if there are fewer than k, all are given. Rows that share an id are candidates each by
+    itself. Repeated rows of a query are one query; different vectors of one query id are searched
+    together, and each candidate counts with the nearest of them. An empty table gives no rows. Other
+    columns of ``vectors`` are not read, whatever their names.
     """
     good = vectors.select(vectors[vec_id].cast("long").alias("id"), vectors[embedding].cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    asked = save(good.where("asks").select("id", "v"), "queries")
-    chunks = max(1, -(-asked.count() // CHUNK))
-    sc, out = vectors.sparkSession.sparkContext, None
+    asked = save(good.where("asks").select("id", "v").distinct(), "queries")
+    size = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    sc, parts = vectors.sparkSession.sparkContext, []
     for c in range(chunks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).collect() if chunks > 1 else asked.collect()
-        by_size: dict[int, tuple] = {}
-        for n in {len(r["v"]) for r in rows}:
-            own = [r for r in rows if len(r["v"]) == n]
-            by_size[n] = np.array([r["id"] for r in own], np.int64), unit(np.array([r["v"] for r in own], float))
-        found = good.select("id", "v").mapInArrow(_searcher(sc.broadcast(by_size), k, chance), "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    # every task gives at most k rows a query
+        by_size: dict[int, list] = {}
+        for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).collect():  # about CHUNK_BYTES
+            by_size.setdefault(len(r["v"]), []).append(r)
+        shared = sc.broadcast({n: (np.array([r["id"] for r in own], np.int64), unit(np.array([r["v"] for r in own], float))) for n, own in by_size.items()})
+        # every task gives at most k rows a query
+        parts.append(save(good.select("id", "v").mapInArrow(_searcher(shared, k, recall), "query_id long, vec_id long, score double"), "found"))
+        shared.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(shared, k: int, chance: float):
+def _searcher(shared, k: int, recall: float):
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
-        best = {n: [Best(k) for _ in ids] for n, (ids, _) in queries.items()}
+        queries, first = shared.value, 0
+        best = {int(i): Best(k) for ids, _ in queries.values() for i in ids}
         for batch in blocks(rows, BLOCK):
             ids, v = batch.column("id").to_numpy(), batch.column("v")
             sizes = v.value_lengths().to_numpy()
             for n in set(sizes.tolist()) & queries.keys():
                 at = np.flatnonzero(sizes == n)
                 x = v.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n)
-                search_block(best[n], *queries[n], ids[at], unit(x), chance)
-        for n, (q_ids, _) in queries.items():
-            q = np.repeat(q_ids, [len(b.id) for b in best[n]])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate([b.id for b in best[n]]), pa.int64()), pa.array(np.concatenate([b.score for b in best[n]]), pa.float64())], ["query_id", "vec_id", "score"])
+                search_block(best, *queries[n], ids[at], unit(x), recall, first)
+                first += len(at)
+        if best:
+            q = np.repeat(np.array(list(best), np.int64), [len(b.id) for b in best.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate([b.id for b in best.values()]), pa.int64()), pa.array(np.concatenate([b.score for b in best.values()]), pa.float64())], ["query_id", "vec_id", "score"])
 
     return run

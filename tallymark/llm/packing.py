@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, text_or_empty, texts_to_python
+from .common import batches, text_or_empty
 
 AXES, BITS = 3, 10
 #: Bits of a word's hash that are its signs.
@@ -33,7 +33,6 @@ BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7E\u00A1-\u024F]")
 #: The same of Latin-1 texts.
 PLAIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
-LONG_RUN = 4000
 PROBE = "It's 12 o'clock,\n\n  isn't it?\tAieê ñandú  Übergröße... (x_1) we'll  "
 
 
@@ -145,28 +144,32 @@ class Encoder:
         self.fast = self._fast()
 
     def _fast(self) -> object | None:
-        """The tiktoken twin: a byte-level vocabulary's ids are its merge ranks. None if the file is of another kind."""
+        """The tiktoken twin of a byte-level file whose ids are the ranks of its merges. None if the file is of another kind."""
         spec = json.loads(self.tokenizer.to_str())
-        before = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer"):
+            return None
+        char_bytes, vocab = _byte_characters(), model["vocab"]
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        plain = {t: i for t, i in vocab.items() if t not in self.special}
+        # ids in the order of the merges, and no token but bytes and merged ones: then an id is a rank
+        in_order = all(x < y for x, y in zip(merged, merged[1:], strict=False)) and {i for t, i in plain.items() if t not in char_bytes} == set(merged)
+        if not in_order or model.get("dropout") or model.get("ignore_merges"):
             return None
         import tiktoken
 
-        char_bytes = _byte_characters()
-        ranks = {_bytes_of(t, char_bytes): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        ranks = {_bytes_of(t, char_bytes): i for t, i in plain.items()}
         twin = tiktoken.Encoding("twin", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
         same = twin.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids
         return twin if same else None
 
     def plain(self, text: str) -> bool:
-        """Whether the twin may take a text; runs of thousands of characters without a break are left to the library, which merges them faster."""
+        """Whether the twin may take a text: by its characters, whatever its length."""
         try:
             odd = text.encode("latin-1").translate(None, PLAIN_BYTES)
         except UnicodeEncodeError:
             odd = NOT_PLAIN.search(text)
-        if odd or any(s in text for s in self.special):
-            return False
-        return len(text) < LONG_RUN or (max(map(len, text.split(" "))) < LONG_RUN and " " * LONG_RUN not in text)
+        return not odd and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Copies, which the curve brings together, are encoded once."""
@@ -267,13 +270,13 @@ NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "off
 def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    Every document is its ids and ``end``. Null and empty texts are one ``end`` each. Repeated
-    rows are packed each by itself. ``tokenizer`` is a path that every executor has. Sequence
+    Every document is its ids and ``end``. Null and empty texts are one ``end`` each; very long texts are
+    cut over as many sequences as they need. Repeated rows and equal texts are packed each by itself, in an
+    order that a hash of the row decides. An empty table gives no rows. ``tokenizer`` is a path that every executor has. Sequence
     ids are unique, not gapless. Other columns of ``docs`` are not read.
     """
     if width & (width - 1):
         raise ValueError("the width of a sequence must be a power of two")
-    texts_to_python(docs)
     kind = docs.schema[doc_id].dataType.simpleString()
     ordered = in_ranges(docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")))
     return ordered.mapInArrow(packer(tokenizer, width, end), f"id {kind}, " + ", ".join(f"{c} long" for c in NAMES[1:]))

@@ -3,11 +3,12 @@
 Fixed patterns give the base spans. Other long runs of key characters are candidates: the
 encoding is inferred (the smallest alphabet that holds the run), and three tests look at it
 as symbols of that alphabet: chi-squared uniformity, the number of runs of character classes,
-and lag-one serial correlation. Uniformity and serial correlation must not speak against a
-random string; the runs test must speak against ordinary writing, in which the class changes
-at a known low rate, so its p-value falls with the length; a run of one class has p-value 1 and
-counts among the candidates like any other. Benjamini-Hochberg over all
-candidates of the corpus, apart for each length class, sets the p-value up to which they count.
+and lag-one serial correlation. Each has two sides. A run that is unlikely under uniform random
+symbols, by any of them, is no candidate. For the others each test gives a p-value against ordinary
+writing, in which symbols are as uneven as letters of a language, the class changes at a known
+low rate, and so neighbours are alike. The harmonic mean of the three p-values, which allows for their
+dependence, is the candidate's; Benjamini-Hochberg over all candidates of the corpus, apart for each
+length class, sets the p-value up to which they count. A run of one class has p-value 1 in the last two tests.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, save, text_or_empty, texts_to_python
+from .common import batches, save, text_or_empty
 
 # The patterns of the contract.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -41,6 +42,8 @@ ALPHABETS = [
 ALPHABETS = [(name, re.compile(f"[{body}]+"), k) for name, body, k in ALPHABETS]
 #: Rate at which the character class changes in ordinary words, names, paths and dates.
 CHANGE_RATE = 0.15
+#: Chance that two letters of ordinary writing are equal; digits are taken as even, so they alone never differ from it.
+COINCIDENCE = 0.065
 #: A test that is less likely than this for a random string speaks against it.
 ALPHA = 1e-3
 #: Bins of -log10(p), a tenth each.
@@ -65,6 +68,29 @@ def many_changes(changes: int, pairs: int) -> float:
     return max(0.0, -(top + math.log(sum(math.exp(x - top) for x in logs))) / math.log(10))
 
 
+def normal_tail(z: float) -> float:
+    """-log10 of P(standard normal >= z), also where it is too small for a float."""
+    p = 0.5 * math.erfc(z / math.sqrt(2))
+    return -math.log10(p) if p > 1e-300 else (z * z / 2 + math.log(z * math.sqrt(2 * math.pi))) / math.log(10)
+
+
+def evenness(x2: float, n: int, k: int, letters: float) -> float:
+    """-log10 P(chi-squared no larger than ``x2`` in ordinary writing): a non-central one, the larger the more letters there are; normal."""
+    excess = letters * letters * n * max(0.0, k * COINCIDENCE - 1)
+    return normal_tail((k - 1 + excess - x2) / math.sqrt(2 * (k - 1) + 4 * excess)) if excess else 0.0
+
+
+def independence(r: float, between: float, n: int) -> float:
+    """-log10 P(serial correlation no larger than ``r`` in ordinary writing), where the share of variance that lies between classes goes on from symbol to symbol."""
+    return normal_tail((between * (1 - 2 * CHANGE_RATE) - r) * math.sqrt(n)) if between else 0.0
+
+
+def combined(evidence: list[float]) -> float:
+    """-log10 of the harmonic mean of p-values given as -log10."""
+    top = max(evidence)
+    return max(0.0, top + math.log10(sum(10 ** (e - top) for e in evidence) / len(evidence)))
+
+
 def battery(s: str) -> float | None:
     """-log10 of the p-value against ordinary writing, or None if the string does not look random."""
     s = s.rstrip("=")
@@ -78,13 +104,20 @@ def battery(s: str) -> float | None:
     if chi2_upper(x2, k - 1) < ALPHA:
         return None
     kind = (codes >= 48) & (codes <= 57), (codes >= 65) & (codes <= 90), (codes >= 97) & (codes <= 122)
+    letters = float((kind[1] | kind[2]).mean())
     kind = kind[0] + 2 * kind[1] + 3 * kind[2]
     _, ranks = np.unique(codes, return_inverse=True)
     d = ranks - ranks.mean()
     power = float((d * d).sum())
-    if not power or abs(float((d[1:] * d[:-1]).sum()) / power + 1 / n) * math.sqrt(n) > 3.29:
+    if not power:
+        return None
+    r = float((d[1:] * d[:-1]).sum()) / power
+    if abs(r + 1 / n) * math.sqrt(n) > 3.29:
         return None
-    return many_changes(int((kind[1:] != kind[:-1]).sum()), n - 1)
+    sizes, sums = np.bincount(kind), np.bincount(kind, d)
+    between = float((sums[sizes > 0] ** 2 / sizes[sizes > 0]).sum()) / power
+    changes = many_changes(int((kind[1:] != kind[:-1]).sum()), n - 1)
+    return combined([evenness(x2, n, k, letters), changes, independence(r, between, n)])
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
@@ -100,7 +133,15 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         if (p := battery(s)) is not None:
             found.append((at, at + len(s), sum(len(s) >= x for x in LENGTHS), min(BINS - 1, int(p * 10))))
     base.sort()
-    return base, [c for c in found if not any(b[0] < c[1] and c[0] < b[2] for b in base)]
+    # candidates are in order and apart, so one sweep finds those that a base span overlaps
+    free, at, reach = [], 0, 0
+    for c in found:
+        while at < len(base) and base[at][0] < c[1]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= c[0]:
+            free.append(c)
+    return base, free
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
@@ -133,13 +174,13 @@ def thresholds(found: DataFrame, rate: float) -> dict[int, int]:
     return out
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = 0.01) -> DataFrame:
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = 0.001) -> DataFrame:
     """One row per input row: ``id, n_assign, n_access, n_hex, base, spans`` (kind:start:end, comma-joined, code points, end exclusive).
 
-    Null text is the empty text and has no spans. Repeated rows are scanned each by itself.
-    Other columns of ``docs`` are not read.
+    Null text is the empty text and has no spans; very long texts are scanned whole. Repeated rows are scanned each
+    by itself, and count each among the candidates. Spans of one start are in the order of kinds. An empty table gives
+    no rows. Other columns of ``docs`` are not read, whatever their names.
     """
-    texts_to_python(docs)
     kind = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text"))
     found = save(narrow.mapInArrow(_scan, f"id {kind}, base array<struct<start:bigint,kind:int,end:bigint>>, more array<struct<start:bigint,end:bigint,length:int,bin:int>>"), "spans")

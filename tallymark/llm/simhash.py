@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, group_bounds, save, sorted_groups, text_or_empty, texts_to_python
+from .common import batches, beside_groups, group_bounds, save, sorted_groups, text_or_empty
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -171,25 +171,13 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     never a component's id unless it has no other. Rows that share an id each keep their own text's component.
     Other columns of ``docs`` are not read.
     """
-    texts_to_python(docs)
     kind = docs.schema[doc_id].dataType.simpleString()
     prints = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).cast("binary").alias("text")).mapInArrow(_fingerprints, f"id {kind}, fp long")
     prints = save(prints, "prints")
-    distinct = save(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = save(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), limit))
-    member = save(distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least"), "member")
-    least = save(member.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    linked = member.join(least, "root").select("fp", F.col("component_id").alias("of"))
-    named = save(distinct.join(linked, "fp", "left").select("fp", F.coalesce("of", "least").alias("component_id")), "named")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that another of their component precedes, all columns kept.
-
-    The id names the document: rows that share one stay if one of them is to stay.
-    """
-    found = simhash_components(docs, doc_id, text)
-    stays = F.bool_or(F.col("id").eqNullSafe(F.col("component_id"))).alias("stays")
-    gone = save(found.groupBy(F.col("id").alias("_gone")).agg(stays).where("NOT stays").select("_gone"), "gone")
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    member = save(distinct.drop("n").join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least"), "member")
+    least = save(member.groupBy("root").agg(F.min("least").alias("of"), F.count(F.lit(1)).alias("n")), "least")
+    linked = beside_groups(member.drop("least"), least, "root").select("fp", "of")
+    named = save(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("of", "least").alias("component_id")), "named")
+    return beside_groups(prints, named, "fp").select("id", "fp", "component_id")

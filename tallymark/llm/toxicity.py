@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fold, save, text_or_empty, texts_to_python
+from .common import batches, fold, save, text_or_empty
 
-#: Bounds of the training sample and of the model.
+#: Bounds of the training sample, all of it rows with a label, and of the model.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 512
+#: Min-hashes of an example's word triples, and how many two examples have in common if they are copies of each other.
+SKETCH, BAND, COPY = 64, 8, 52
 SPACE = 1 << 20
 #: The largest deviation that chance alone gives among so many pieces, in standard deviations.
 CHANCE = math.sqrt(2 * math.log(SPACE))
@@ -42,23 +44,55 @@ def words(text: str) -> set[str]:
     return set(text.lower().split())
 
 
+_RANDOM = np.random.default_rng(3)
+_TIMES, _PLUS = _RANDOM.integers(1, 1 << 62, SKETCH, np.uint64) | np.uint64(1), _RANDOM.integers(0, 1 << 62, SKETCH, np.uint64)
+
+
+def sketch(text: str) -> np.ndarray:
+    """Min-hashes of the whole text's word triples; the share that two texts have in common estimates their similarity."""
+    w = text.lower().encode().split()
+    triples = set(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else {tuple(w)}
+    h = np.fromiter((zlib.crc32(b" ".join(t)) for t in triples), np.uint64, len(triples))
+    least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, (h[at : at + 1024, None] * _TIMES + _PLUS >> np.uint64(16)).min(0))
+    return least
+
+
 def _sketch(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two min-hashes of each text's word triples: near copies share at least one of them nearly always."""
     for batch in batches(rows, 256):
-        a, b = [], []
-        for t in batch.column("text").to_pylist():
-            w = t.lower().encode().split()
-            h = np.fromiter(map(zlib.crc32, map(b" ".join, zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else [b" ".join(w)]), np.uint64)
-            a.append(int(h.min()))
-            b.append(int((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).min()))
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("text"), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["positive", "text", "a", "b"])
+        found = [sketch(t).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("positive"), pa.array(found, pa.binary())], ["row", "positive", "sketch"])
+
+
+def copies(sketches: np.ndarray) -> np.ndarray:
+    """Which rows have COPY min-hashes or more in common with an earlier one that is none of these itself; found by bands of BAND equal ones."""
+    out, seen = np.zeros(len(sketches), bool), {}
+    for i, s in enumerate(sketches):
+        keys = [(at, s[at : at + BAND].tobytes()) for at in range(0, SKETCH, BAND)]
+        near = {j for k in keys for j in seen.get(k, ())}
+        if any(int((sketches[j] == s).sum()) >= COPY for j in near):
+            out[i] = True
+            continue
+        for k in keys:
+            seen.setdefault(k, []).append(i)
+    return out
 
 
 def one_of_each(sample: DataFrame) -> DataFrame:
-    """positive, text without near copies: a text that is copied into many examples would make its own words look toxic."""
-    rows = sample.mapInArrow(_sketch, "positive boolean, text string, a long, b long")
-    rows = rows.groupBy("positive", "a").agg(F.min(F.struct("b", "text")).alias("r")).select("positive", "r.b", "r.text")
-    return rows.groupBy("positive", "b").agg(F.min("text").alias("text")).select("text", "positive")
+    """row, text, positive without near copies, which are folded apart for positive and for other ones: a text that is copied into many examples would make its own words look toxic.
+
+    The driver sees the sketches of the bounded sample.
+    """
+    found = sample.mapInArrow(_sketch, "row long, positive boolean, sketch binary").collect()
+    found.sort(key=lambda r: (r["positive"], r["row"]))
+    gone = []
+    for kind in (False, True):
+        own = [r for r in found if r["positive"] == kind]
+        fold_ = copies(np.array([np.frombuffer(r["sketch"], np.uint64) for r in own], np.uint64).reshape(len(own), SKETCH))
+        gone += [(r["row"],) for r, c in zip(own, fold_, strict=True) if c]
+    small = sample.sparkSession.createDataFrame(gone, "row long")  # at most as many rows as the sample
+    return sample.join(F.broadcast(small), "row", "left_anti")
 
 
 def _frequencies(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,20 +177,23 @@ def train(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 800, rate:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, folds: int, held: int) -> Scorer | None:
     """A scorer from labels of the training folds; None without confirmed examples.
 
-    At most MAX_POSITIVE confirmed and MAX_UNLABELLED other documents are read for it, those with the smallest hash of their id.
+    At most MAX_POSITIVE confirmed documents and MAX_UNLABELLED of all those that have a label, whatever it is, are
+    read for it, those with the smallest hash of their id; the latter stand for the unlabelled text, and the class
+    prior is the share of confirmed ones among them all. Null labels are no labels; of several labels of one id the largest counts.
     """
-    open_rows = lambda df, c: df.where((fold(df[c], folds) != held) & df[c].isNotNull())
-    known = open_rows(labels.select(F.col(doc_id), F.col(label)), doc_id).groupBy(doc_id).agg(F.max(label).alias("y"))
+    open_rows = labels.where((fold(labels[doc_id], folds) != held) & labels[doc_id].isNotNull() & labels[label].isNotNull())
+    known = open_rows.groupBy(doc_id).agg(F.max(label).alias("y"))
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
     if not total["p"]:
         return None
     prior = min(0.5, max(0.01, total["p"] / total["n"]))
-    by_hash = lambda df: df.orderBy(F.xxhash64(doc_id), doc_id)
-    positive = by_hash(known.where("y = 1").select(doc_id)).limit(MAX_POSITIVE).withColumn("positive", F.lit(True))
-    plain = by_hash(open_rows(docs.select(docs[doc_id]), doc_id)).limit(MAX_UNLABELLED).withColumn("positive", F.lit(False))
+    by_hash = lambda df, n: df.orderBy(F.xxhash64(doc_id), doc_id).limit(n).select(doc_id)
+    positive = by_hash(known.where("y = 1"), MAX_POSITIVE).withColumn("positive", F.lit(True))
+    plain = by_hash(known, MAX_UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(positive.unionByName(plain))  # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    found = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).join(chosen, F.col("id") == F.col(doc_id)).select("text", "positive")
-    sample = save(one_of_each(found), "sample")
+    found = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).alias("text")).join(chosen, F.col("id") == F.col(doc_id)).select("id", "text", "positive")
+    found = save(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    sample = save(one_of_each(found).select("text", "positive"), "sample")
     n = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = n.get(True, 0), n.get(False, 0)
     if not n_p or not n_u:
@@ -185,10 +222,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held: int = 1) -> DataFrame:
     """One row per input row: ``id, held_out, score``; score is 0 to 1.
 
-    Null text is the empty text: it has no features and the score of the bias alone. Without
-    confirmed examples in the training folds every score is 0. Other columns of ``docs`` are not read.
+    Null text is the empty text: it has no features and the score of the bias alone. Very long texts are
+    read whole. Repeated rows and equal texts are scored alike, and ties stay ties. Rows with a null id are in
+    the fold of the empty id. Without confirmed examples in the training folds every score is 0. An empty table
+    gives no rows. Other columns of ``docs`` are not read, whatever their names.
     """
-    texts_to_python(docs)
     scorer = fit(docs, labels, doc_id, text, label, folds, held)
     kind = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(docs[doc_id].alias("id"), (fold(docs[doc_id], folds) == held).alias("held_out"), text_or_empty(docs[text]).alias("text"))

@@ -88,6 +88,24 @@ def test_mixed_repeats_rows(spark):
     assert all(seen[i] == n for i, n in copies.items())
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_mixed_decides_each_row_by_itself(spark, monkeypatch, tmp_path, most):
+    """Ids that repeat four times, or are null, and a map column: each source's words come within a document of its target, by either way of joining."""
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", most)
+    rng = random.Random(2)
+    rows = [(i % 100 if i % 9 else None, " ".join(["w"] * rng.randint(1, 40)), f"s{i % 3}", {"k": i}, i) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, _row map<string,int>, _usual long").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    goal = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    out = mixing.mixed(docs).collect()
+    taken = collections.Counter()
+    for r in out:
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[s] - goal[s]) <= 40 for s in goal)
+    assert max(collections.Counter(r["_usual"] for r in out).values()) <= 2
+    assert mixing.mixed(docs.where("false")).count() == 0
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
@@ -135,7 +153,28 @@ def test_random_letters_without_digits_are_found(spark):
     out = {r["id"]: r["spans"] for r in secret_scan.scan_secrets(spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate([*keys, "internationalizationandlocalization"])], "doc_id long, text string")).collect()}
     assert [out[i] for i in range(6)] == ["random:4:44"] * 5 + [""]
     # a run of one class is no find, but it counts among the candidates
-    assert secret_scan.battery("thequickbrownfoxjumps") == 0.0 and len(secret_scan.spans("thequickbrownfoxjumps")[1]) == 1
+    assert secret_scan.battery("thequickbrownfoxjumps") < 3 and len(secret_scan.spans("thequickbrownfoxjumps")[1]) == 1
+
+
+def test_every_test_of_the_battery_counts():
+    """Evidence against ordinary writing comes from evenness, class changes and independence; the combination is their harmonic mean."""
+    assert secret_scan.combined([6.0, 0.0, 0.0]) == pytest.approx(6 - np.log10(3), abs=1e-4)
+    assert secret_scan.combined([0.0, 0.0, 0.0]) == 0.0
+    assert secret_scan.evenness(50.0, 48, 52, 1.0) > secret_scan.evenness(150.0, 48, 52, 1.0) and secret_scan.evenness(20.0, 30, 10, 0.0) == 0.0
+    assert secret_scan.independence(0.0, 0.8, 48) > secret_scan.independence(0.5, 0.8, 48) and secret_scan.independence(0.0, 0.0, 48) == 0.0
+    assert secret_scan.normal_tail(40.0) == pytest.approx(349.44, abs=0.2)
+
+
+def test_candidates_beside_base_spans_are_kept_in_one_sweep():
+    """Thousands of base spans and candidates in one text; only candidates that a base span overlaps go."""
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    text = " ".join(f"token={key()} {key()} 0123456789abcdef01234567" for _ in range(1500))
+    base, free = secret_scan.spans(text)
+    assert len(base) == 3000
+    want = [c for c in free if not any(b[0] < c[1] and c[0] < b[2] for b in base[:50])]
+    assert free == want and 1200 < len(free) <= 1500
+    assert all(text[c[0] - 1] == " " for c in free)
 
 
 def test_battery_rejects_patterns():
@@ -193,10 +232,48 @@ def test_chunks_of_queries(spark, monkeypatch):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
     whole = {tuple(r) for r in neighbours.nearest(df, F.col("vec_id") % 10 == 0).collect()}
-    monkeypatch.setattr(neighbours, "CHUNK", 6)
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 8 * 8 * 6)
     assert {tuple(r) for r in neighbours.nearest(df, F.col("vec_id") % 10 == 0).collect()} == whole
 
 
+def test_repeated_queries_and_clashing_columns(spark):
+    """A query that is there twice is one query; different vectors of one query id are searched together; other columns are not read."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist(), "q", "s", 1) for i in range(1, 60)]
+    asked = [(0, rows[0][1], "q", "s", 1), (0, rows[0][1], "q", "s", 1), (0, rows[9][1], "q", "s", 1)]
+    out = neighbours.nearest(spark.createDataFrame(rows + asked, "vec_id long, embedding array<double>, id string, score string, rank int"), F.col("vec_id") == 0).collect()
+    assert [r["rank"] for r in out] == [1, 2, 3, 4, 5] and len({r["vec_id"] for r in out}) == 5
+    x = neighbours.unit(np.array([r[1] for r in rows]))
+    near = np.maximum(x @ x[0], x @ x[9])
+    assert [r["vec_id"] for r in out] == (np.lexsort((np.arange(59), -np.round(near, 12)))[:5] + 1).tolist()
+
+
+def test_ascent_meets_few_clustered_vectors_and_enough_of_others():
+    """Recall of 0.9 and more on vectors without near ones; a small share is scored where there are near ones."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(200, 64))
+    for x, most in ((np.repeat(centres, 40, 0) + 0.25 * rng.normal(size=(8000, 64)), 0.02), (rng.normal(size=(4000, 64)), 0.9)):
+        u, ids = neighbours.unit(x), np.arange(len(x))
+        q = ids[::50]
+        best = {int(i): neighbours.Best(5) for i in q}
+        scored = neighbours.search_block(best, q, u[q], ids, u, 0.95)
+        hits = 0
+        for i in q.tolist():
+            s = u @ u[i]
+            s[i] = -9
+            hits += len(set(best[i].id) & set(np.lexsort((ids, -s))[:5]))
+        assert hits >= 0.9 * 5 * len(q) and scored <= most * len(q) * len(x)
+
+
+def test_longest_match_is_the_longest_shared_prefix():
+    rng = np.random.default_rng(4)
+    rows, queries = rng.normal(size=(300, 16)), rng.normal(size=(20, 16))
+    forest = neighbours.Forest(rows)
+    a, b = forest.strings(rows), forest.strings(queries)
+    want = [max(neighbours.LENGTH - int(x ^ y).bit_length() for t in range(neighbours.TREES) for x, y in ((int(a[t, i]), int(b[t, n])) for i in range(300))) for n in range(20)]
+    assert forest.longest(b).tolist() == want
+
+
 # --- SimHash ------------------------------------------------------------------------
 
 
@@ -265,13 +342,8 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_keep_one_and_nothing(spark):
-    docs = documents(spark)
-    out = simhash.keep_one(docs)
-    assert out.columns == docs.columns
-    named = {(r["id"], r["component_id"]) for r in simhash.simhash_components(docs).collect()}
-    assert {r["doc_id"] for r in out.collect()} == {i for i, c in named if i == c}
-    assert simhash.simhash_components(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
+def test_components_of_nothing(spark):
+    assert simhash.simhash_components(empty(spark)).count() == 0
 
 
 # --- packing ---------------------------------------------------------------------------
@@ -406,10 +478,43 @@ def test_shapes_are_of_whole_words():
     letters = "plain" * 13
     junk = letters + "!?#" * 1200
     assert quality_votes.shape(letters) != quality_votes.shape(junk)
-    assert (quality_votes.term_vector(letters) != quality_votes.term_vector(junk)).any()
-    shapes = quality_votes.Shapes()
-    assert shapes[junk] == quality_votes.shape(junk) and junk not in shapes
-    assert shapes["word"] == quality_votes.shape("word") and "word" in shapes
+    idf = np.ones(quality_votes.WORDS, np.float32)
+    assert (quality_votes.term_vector(letters, idf) != quality_votes.term_vector(junk, idf)).any()
+    shapes = quality_votes.Codes()
+    assert shapes[junk] == quality_votes.codes_of(junk) and junk not in shapes
+    assert shapes["word"] == quality_votes.codes_of("word") and "word" in shapes
+    for w in ("word", "Word", "WORD", "wOrd", "a1b", "größe", "Été", "日本語", "x", "X", "...", "a.b"):
+        assert quality_votes.shape(w) == quality_votes._term("".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
+
+
+def test_words_enter_the_latent_space():
+    """Texts of one shape differ by their words, by tf-idf; words of every document count for nothing."""
+    idf = np.ones(quality_votes.WORDS, np.float32)
+    idf[quality_votes.codes_of("common") % quality_votes.WORDS] = 0
+    a, b, c = (quality_votes.term_vector(t, idf) for t in ("stone river common", "river stone common", "moon cloud common"))
+    assert np.allclose(a, b) and not np.allclose(a, c)
+    rng = np.random.default_rng(1)
+    x = rng.random((60, 5)).astype(np.float32) @ rng.random((5, 40)).astype(np.float32)
+    basis = quality_votes.basis_of(x, 8)
+    assert basis.shape == (40, 5) and np.allclose(x @ basis @ basis.T, x, atol=1e-3)
+
+
+def test_tied_voters_all_vote():
+    n = quality_votes.NEIGHBOURS
+    vectors = np.repeat(np.eye(2, quality_votes.TERMS, dtype=np.float32), [2 * n, 3], 0)
+    labels = np.r_[np.ones(n), np.zeros(n), np.ones(3)]
+    voters = quality_votes.Voters(vectors, labels, np.ones(len(labels)), np.ones(quality_votes.WORDS, np.float32))
+    assert voters.score(vectors[:1])[0] == pytest.approx(0.5)
+
+
+def test_copies_of_examples_are_those_that_agree():
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9999)}" for _ in range(400)]
+    near = [*base[:200], "other", *base[201:]]
+    shared = [*base[:300], *[f"v{rng.randrange(9999)}" for _ in range(100)]]
+    found = toxicity.copies(np.array([toxicity.sketch(" ".join(t)) for t in (base, near, shared, base)]))
+    assert found.tolist() == [False, True, False, True]
+    assert toxicity.sketch("").tolist() == toxicity.sketch("  ").tolist()
 
 
 def test_quality_without_voters(spark):

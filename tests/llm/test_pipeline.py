@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tallymark.llm import near_copies, queries
+from tallymark.llm import components, near_copies, queries
 
 from .test_free_operators import brute_components, brute_print
 from .test_native_operators import norm
@@ -141,4 +141,24 @@ def test_every_pair_of_a_group_counts():
             if 5 * shared >= 4 * (len(a) + len(sets[j]) - shared) and root[i] != root[j]:
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
-    assert near_copies.linked(sets).tolist() == root
+    assert near_copies.linked(sets, np.ones(len(sets), bool)).tolist() == root
+
+
+def test_components_in_parts(spark):
+    """Parts and blocks of a few shingles give the links that all pairs give."""
+    rng = np.random.default_rng(1)
+    sets = []
+    for c in range(4):
+        base = np.arange(c * 1000, c * 1000 + 200, dtype=np.uint64)
+        sets += [np.unique(np.where(rng.random(200) < share, rng.integers(10**5, 10**6, 200), base).astype(np.uint64)) for share in np.linspace(0, 0.35, 25)]
+    rows = [(i, i // 50, len(x), bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    edges = near_copies.exact_links(spark.createDataFrame(rows, "row long, root long, size long, found binary"), part=1500)
+    found = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    want = near_copies.linked(sets, np.ones(len(sets), bool))
+    groups = collections.defaultdict(set)
+    for i, r in enumerate(want.tolist()):
+        groups[r].add(i)
+    got = collections.defaultdict(set)
+    for i in range(len(sets)):
+        got[found.get(i, -1 - i)].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
