@@ -58,6 +58,11 @@ def _readings(t: Column) -> Column:
     )
 
 
+def _one_blank(t: Column) -> Column:
+    """Runs of white space as one blank: blanks between the parts of a date may be any."""
+    return F.when(t.rlike(f"[{SPACES}]{{2}}|[^\\S ]"), F.regexp_replace(t, f"[{SPACES}]+", " ")).otherwise(t)
+
+
 def _maybe_date(t: Column) -> Column:
     """A cheap test that every date passes."""
     return F.length(t).between(8, 17) & t.rlike(r"\d$|\d{4}[-/]")
@@ -65,7 +70,7 @@ def _maybe_date(t: Column) -> Column:
 
 def date_candidates(c: Column, *formats: str) -> Column:
     """All dates that a cell can mean, as a set; empty for others."""
-    t = strip(c)
+    t = _one_blank(strip(c))
     empty = F.array().cast("array<date>")
     found = F.coalesce(F.when(_maybe_date(t), _readings(t)), empty)
     if formats:
@@ -75,7 +80,7 @@ def date_candidates(c: Column, *formats: str) -> Column:
 
 def first_date(c: Column) -> Column:
     """The earliest date that a cell can mean, ISO; null for others."""
-    t = strip(c)
+    t = _one_blank(strip(c))
     return F.when(_maybe_date(t), F.date_format(F.array_min(_readings(t)), "yyyy-MM-dd"))
 
 
@@ -169,16 +174,31 @@ def typed(c: Column, type_name: str, fold_case: bool = False) -> Column:
 
 # --- transforms -------------------------------------------------------------
 
-# Fixed value: the form of a SQL call whose pattern and replacement are taken.
-_SQL_REPLACE = re.compile(r"regexp_replace\s*\([^,]+,\s*'((?:\\'|[^'])*)'\s*,\s*'((?:\\'|[^'])*)'", re.I)
+def sql_literals(call: str, name: str = "regexp_replace") -> list[str]:
+    """The quoted arguments of a call of ``name`` in a SQL text, as they are written; none if there is no such call."""
+    at = call.lower().find(name)
+    rest = call[at + len(name) :].lstrip() if at >= 0 else ""
+    found, begin, i = [], None, 1
+    while rest.startswith("(") and i < len(rest):
+        if begin is None:
+            if rest[i] == ")":
+                break
+            begin = i + 1 if rest[i] == "'" else None
+        elif rest[i] == "\\":
+            i += 1
+        elif rest[i] == "'":
+            found.append(rest[begin:i])
+            begin = None
+        i += 1
+    return found
 
 
 def regex_transform(pattern: str | None, replacement: str = "") -> tuple[str, str] | None:
     """Pattern and replacement from a plain pattern or a SQL call, in Java's dialect; None if the pattern is blank."""
     if not pattern or not pattern.strip():
         return None
-    m = _SQL_REPLACE.search(pattern)
-    p, r = m.groups() if m else (pattern.strip(), replacement)
+    written = sql_literals(pattern)
+    p, r = written[:2] if len(written) > 1 else (pattern.strip(), replacement)
     return re.sub(r"\(\?P<", "(?<", p), re.sub(r"\\g<(\w+)>", r"${\1}", re.sub(r"\\(\d)", r"$\1", r.replace("$", r"\$")))
 
 
@@ -196,7 +216,7 @@ def transform(c: Column, pattern: str | None = None, replacement: str = "", stri
     if strip_prefix:
         out = F.when(out.startswith(strip_prefix), F.substring(out, F.lit(len(strip_prefix) + 1), F.length(out))).otherwise(out)
     pair = regex_transform(pattern, replacement)
-    if pair and is_pattern(pattern if not _SQL_REPLACE.search(pattern) else pair[0]):
+    if pair and is_pattern(pattern if len(sql_literals(pattern)) < 2 else pair[0]):
         out = F.regexp_replace(out, *pair)
     return out
 

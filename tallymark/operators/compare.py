@@ -54,12 +54,13 @@ def identical_files(spark: SparkSession, source: str, target: str) -> bool:
     def files(path: str) -> DataFrame:
         return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    sizes = [sorted(map(tuple, files(p).select(name, "length").collect())) for p in (source, target)]
-    if [s[1] for s in sizes[0]] != [s[1] for s in sizes[1]]:
-        return False
-    sums = [sorted(r[0] for r in files(p).select(F.sha2("content", 256)).collect()) for p in (source, target)]
-    return sums[0] == sums[1]
+    def alike(*columns: Column) -> bool:
+        """Whether both folders have the same files by these columns, each as often."""
+        side = lambda p, n: files(p).select(*columns, F.lit(n).alias("n"))
+        both = side(source, 1).unionByName(side(target, -1))
+        return both.groupBy(*[c for c in both.columns if c != "n"]).agg(F.sum("n").alias("n")).where("n <> 0").isEmpty()
+
+    return alike(F.col("length")) and alike(F.col("length"), F.sha2("content", 256).alias("digest"))
 
 
 # --- schemas ----------------------------------------------------------------

@@ -35,7 +35,10 @@ def stats_unit(first, last) -> str:
     return "hour" if (last - first).total_seconds() <= 86_400 else "day"
 
 
-def recent(runs: DataFrame, limit: int, offset: int = 0, status: str | None = None, pair: str | None = None) -> DataFrame:
+def recent(runs: DataFrame, limit: int, offset: int = 0, status: str | None = None, pair: str | None = None, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """A page of runs, newest first, of a status, of a pair of files, and created from ``first`` to ``last``."""
+    runs = runs.where(F.col("created_at") >= first) if first is not None else runs
+    runs = runs.where(F.col("created_at") <= last) if last is not None else runs
     rows = runs.where(F.col("status") == status) if status else runs
     rows = rows.where(F.col("pair_key") == pair) if pair else rows
     return rows.orderBy(F.desc("created_at"), F.desc("run_id")).offset(offset).limit(limit)
@@ -68,11 +71,15 @@ def infer_entities(files: DataFrame, entities: DataFrame) -> DataFrame:
     return j.select(*files.columns, entity.alias("entity"), F.coalesce("score", F.lit(0)).cast("long").alias("score"), confidence.alias("confidence"))
 
 
-def entity_insights(runs: DataFrame, last: int | None = None) -> DataFrame:
-    """entity, success, failed, total, runs (newest first) of runs with an ``entity``."""
+def entity_insights(runs: DataFrame, last: int | None = None, shown: int = 100) -> DataFrame:
+    """entity, success, failed, total of all runs with an ``entity``, and its newest ``shown`` runs, newest first."""
     rows = recent(runs, last) if last else runs
+    newest = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("created_at"), F.desc("run_id")))
     detail = F.struct(F.col("created_at"), "run_id", "is_match")
-    return rows.groupBy("entity").agg(F.count_if(F.col("is_match")).alias("success"), F.count_if(~F.col("is_match")).alias("failed"), F.count(F.lit(1)).alias("total"), F.sort_array(F.collect_list(detail), asc=False).alias("runs"))
+    # the rank's filter is pushed below the window's shuffle, so an entity's list is short before it is made
+    listed = rows.withColumn("_n", newest).where(F.col("_n") <= shown).groupBy(F.col("entity").alias("_e")).agg(F.sort_array(F.collect_list(detail), asc=False).alias("runs"))
+    counts = rows.groupBy("entity").agg(F.count_if(F.col("is_match")).alias("success"), F.count_if(~F.col("is_match")).alias("failed"), F.count(F.lit(1)).alias("total"))
+    return counts.join(listed, F.col("entity").eqNullSafe(F.col("_e"))).drop("_e")
 
 
 def batch_summary(units: DataFrame) -> DataFrame:
@@ -81,11 +88,27 @@ def batch_summary(units: DataFrame) -> DataFrame:
     return units.agg(F.count_if(s == "completed").alias("completed"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "skipped").alias("skipped"), F.count_if((s == "completed") & F.col("is_match")).alias("passed"))
 
 
-def delete_runs(runs: DataFrame, mismatches: DataFrame, run_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables without the runs of ``run_ids``."""
+def delete_runs(runs: DataFrame, mismatches: DataFrame, run_ids: DataFrame | None = None, pair: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the runs of ``run_ids``, or of a pair of files, or, with neither, without any."""
+    if run_ids is None:
+        run_ids = (runs.where(F.col("pair_key") == pair) if pair is not None else runs).select("run_id")
+    run_ids = run_ids.select("run_id").distinct()
     return runs.join(run_ids, "run_id", "left_anti"), mismatches.join(run_ids, "run_id", "left_anti")
 
 
+def save_draft(runs: DataFrame, draft: DataFrame) -> DataFrame:
+    """``runs`` with a draft: a run with the status ``pending``, without results, that replaces an earlier draft of its id. A run that has begun stays as it is."""
+    begun = runs.where(F.col("status") != "pending")
+    new = draft.withColumn("status", F.lit("pending")).join(begun.select("run_id"), "run_id", "left_anti")
+    return runs.join(new.select("run_id"), "run_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def backfill(run_id: object, mismatches: DataFrame, artifact: DataFrame) -> DataFrame:
+    """The stored mismatches of a run, or, where none are stored, those of its artifact."""
+    own = mismatches.where(F.col("run_id") == run_id)
+    return artifact.withColumn("run_id", F.lit(run_id)).select(*mismatches.columns) if own.isEmpty() else own
+
+
 def upsert_entities(entities: DataFrame, changes: DataFrame) -> DataFrame:
     """name, display_name, aliases: the latest display name, all aliases as a sorted set.
 
@@ -101,7 +124,13 @@ def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def persist_run(run: DataFrame, mismatches: DataFrame, path: str, cap: int = 100_000) -> None:
-    """Appends a run and at most ``cap`` of its mismatches to the history; without a cap pass 0."""
+def persist_run(run: DataFrame, mismatches: DataFrame, path: str, cap: int | None = 100_000) -> bool:
+    """Appends a run and all of its mismatches to the history; of a run with more than ``cap`` none are stored, as its artifact has them.
+
+    Whether they were stored is the result.
+    """
     run.write.mode("append").parquet(f"{path}/runs")
-    (mismatches.limit(cap) if cap else mismatches).write.mode("append").parquet(f"{path}/mismatches")
+    whole = cap is None or mismatches.limit(cap + 1).count() <= cap
+    if whole:
+        mismatches.write.mode("append").parquet(f"{path}/mismatches")
+    return whole

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canon import NULL
 from ..functions.structured import signature
 from .reconcile import EXTRA, MISMATCH_COLUMNS, MISSING, VALUE, last_by_key
 
@@ -27,15 +28,21 @@ def path_text(path: Sequence[str | int]) -> str:
     return out.removeprefix(".") or "$"
 
 
+class Absent:
+    """The value that a side does not have."""
+
+
 def leaf_text(v: object) -> str | None:
-    """Containers as JSON with sorted keys; None stays None."""
-    if v is None:
+    """Containers as JSON with sorted keys; a null has a name, and what is not there is None."""
+    if v is Absent:
         return None
+    if v is None:
+        return NULL
     return json.dumps(v, ensure_ascii=False, sort_keys=True) if isinstance(v, dict | list) else str(v)
 
 
 def differences(source: object, target: object, ordered: bool) -> Iterator[tuple[list, str, object, object, object, object]]:
-    """(path, kind, source value, target value, source parent, target parent), depth first."""
+    """(path, kind, source value, target value, source parent, target parent), depth first; ``Absent`` is the value of a side without one."""
     todo: list[tuple] = [([], source, target, None, None)]
     while todo:
         path, s, t, sp, tp = todo.pop()
@@ -48,12 +55,12 @@ def differences(source: object, target: object, ordered: bool) -> Iterator[tuple
                 if k in s and k in t:
                     later.append(([*path, k], s[k], t[k], s, t))
                 else:
-                    yield [*path, k], MISSING if k in s else EXTRA, s.get(k), t.get(k), s, t
+                    yield [*path, k], MISSING if k in s else EXTRA, s.get(k, Absent), t.get(k, Absent), s, t
             todo += reversed(later)
         elif isinstance(s, list) and isinstance(t, list) and ordered:
             both = min(len(s), len(t))
             for i in range(both, max(len(s), len(t))):
-                yield [*path, i], MISSING if i < len(s) else EXTRA, s[i] if i < len(s) else None, t[i] if i < len(t) else None, s, t
+                yield [*path, i], MISSING if i < len(s) else EXTRA, s[i] if i < len(s) else Absent, t[i] if i < len(t) else Absent, s, t
             todo += [([*path, i], s[i], t[i], s, t) for i in reversed(range(both))]
         elif isinstance(s, list) and isinstance(t, list):
             # elements of one signature are interchangeable: they are paired off in order, the rest has no partner
@@ -65,9 +72,9 @@ def differences(source: object, target: object, ordered: bool) -> Iterator[tuple
                 if pool:
                     pool.popleft()
                 else:
-                    yield [*path, i], MISSING, x, None, s, t
+                    yield [*path, i], MISSING, x, Absent, s, t
             for i in sorted(i for pool in free.values() for i in pool):
-                yield [*path, i], EXTRA, None, t[i], s, t
+                yield [*path, i], EXTRA, Absent, t[i], s, t
         else:
             yield path, VALUE, s, t, sp, tp
 
@@ -102,11 +109,21 @@ def diff_json(pairs: DataFrame, ordered: bool = False, mapping: Sequence[tuple[s
 
 
 def diff_json_lines(source: DataFrame, target: DataFrame, uid: str, ordered: bool = False, mapping: Sequence[tuple[str, str]] = (), number: str | None = None) -> DataFrame:
-    """source, target: ``json``, one object a row. Joined by a top-level key, the last of repeated ids (by ``number``, else input order)."""
+    """source, target: ``json``, one object a row. Joined by a top-level key, the last of repeated ids (by ``number``, else input order).
+
+    A record without the key, with a null key, or that is no JSON object, makes the result fail and names itself: nothing is folded or dropped.
+    Input order is that of one file's splits; records of several files need a ``number``.
+    """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        key = F.coalesce(F.get_json_object("json", f"$['{uid}']"), F.lit(""))
-        rows = df.select(key.alias("uid"), F.col("json").alias(name), (F.col(number) if number else F.monotonically_increasing_id()).alias("_n"))
+        # numbered first: in a branch, the number would count only the rows that come to it
+        df = df.select("json", (F.col(number) if number else F.monotonically_increasing_id()).alias("_n"))
+        at = F.concat(F.lit(f"{name} record "), (F.col("_n") if number else F.col("_n") + 1).cast("string"))
+        key = F.get_json_object("json", f"$['{uid}']")
+        broken = F.raise_error(F.concat(at, F.lit(" is not a JSON object: "), F.substring("json", 1, 80)))
+        lacking = F.raise_error(F.concat(at, F.lit(f" has no {uid}: "), F.substring("json", 1, 80)))
+        key = F.when(key.isNotNull(), key).when(F.coalesce(F.schema_of_variant(F.try_parse_json("json")).startswith("OBJECT"), F.lit(False)), lacking).otherwise(broken)
+        rows = df.select(key.alias("uid"), F.col("json").alias(name), "_n")
         return last_by_key(rows, [rows["uid"]], [rows["_n"]]).select("uid", name)
 
     j = side(source, "source").join(side(target, "target"), "uid", "full_outer")

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import canon, identity
@@ -39,7 +39,9 @@ class Reconciliation:
     """A source and a target, their key columns and compared fields.
 
     ``on_duplicate``: ``cross`` pairs repeated keys m by n, ``last`` keeps each key's last row by
-    ``order``, ``error`` raises. Keys are compared in canonical form, so null keys meet null keys.
+    ``order``, ``pair`` pairs the first with the first and so on by ``order``, so rows do not multiply,
+    and ``error`` raises. Without an ``order`` it is that of all columns. Keys are compared in canonical form,
+    so null keys meet null keys. ``how``: ``right_outer`` leaves out what the target lacks.
     """
 
     source: DataFrame
@@ -49,6 +51,7 @@ class Reconciliation:
     target_keys: Sequence[str] | None = None
     on_duplicate: str = "cross"
     order: Sequence[str] = ()
+    how: str = "full_outer"
 
     def __post_init__(self) -> None:
         self.keys = tuple(self.keys)
@@ -61,24 +64,33 @@ class Reconciliation:
                 raise ValueError(f"{side} has no column {', '.join(lacking)}")
         if not self.fields:
             self.fields = resolve_fields(None, self.keys, [c for c in self.source.columns if c in self.target.columns])
-        if self.on_duplicate not in ("cross", "last", "error"):
+        if self.on_duplicate not in ("cross", "last", "pair", "error"):
             raise ValueError(f"on_duplicate: {self.on_duplicate}")
 
     # -- the join ------------------------------------------------------------
 
     def _side(self, df: DataFrame, keys: Sequence[str], side: str, raw: bool) -> DataFrame:
-        parts = identity.key_parts(df, keys)
-        if self.on_duplicate == "last":
-            df = last_by_key(df, parts, [df[c] for c in (self.order or df.columns)])
-            parts = identity.key_parts(df, keys)
-        elif self.on_duplicate == "error" and not df.groupBy(*parts).count().where("count > 1").isEmpty():
+        """Key parts and cells of a side. What repeated keys need is grouped by these parts, so the join finds the rows dealt as it wants them."""
+        parts = [p.alias(f"_k{i}") for i, p in enumerate(identity.key_parts(df, keys))]
+        names = [f"_k{i}" for i in range(len(parts))]
+        if self.on_duplicate == "error" and not df.groupBy(*parts).count().where("count > 1").isEmpty():
             raise ValueError(f"{side} has repeated keys")
         t = side[0]
         cells = [(df[f.columns(side)[0]].cast("string") if self._alike(f) else f.value(df, side)).alias(f"_{t}{i}") for i, f in enumerate(self.fields)]
-        out = [p.alias(f"_k{i}") for i, p in enumerate(parts)] + [F.lit(True).alias(f"_in_{side}"), *cells]
         if raw:
-            out.append(self._record(df, keys, side).alias(f"_{side}_record"))
-        return df.select(*out)
+            cells.append(self._record(df, keys, side).alias(f"_{side}_record"))
+        order = [df[c] for c in (self.order or df.columns)]
+        if self.on_duplicate == "last" and cells:
+            rows = df.select(*parts, F.struct(*cells).alias("_cells"), F.struct(*order).alias("_order"))
+            df = rows.groupBy(*names).agg(F.max_by("_cells", "_order").alias("_cells")).select(*names, "_cells.*")
+        elif self.on_duplicate == "last":
+            df = df.select(*parts).distinct()
+        elif self.on_duplicate == "pair":
+            nth = F.row_number().over(Window.partitionBy(*names).orderBy("_order"))
+            df = df.select(*parts, *cells, F.struct(*order).alias("_order")).withColumn("_nth", nth).drop("_order")
+        else:
+            df = df.select(*parts, *cells)
+        return df.withColumn(f"_in_{side}", F.lit(True))
 
     def _record(self, df: DataFrame, keys: Sequence[str], side: str) -> Column:
         """The raw record as text cells; sensitive ones are masked here too."""
@@ -92,7 +104,8 @@ class Reconciliation:
         s = self._side(self.source, self.keys, SOURCE, raw)
         t = self._side(self.target, self.target_keys, TARGET, raw)
         parts = [f"_k{i}" for i in range(len(self.keys))]
-        j = s.join(t, parts, "full_outer").withColumn("changes", self._changes())
+        on = [*parts, "_nth"] if self.on_duplicate == "pair" else parts
+        j = s.join(t, on, self.how).withColumn("changes", self._changes())
         status = F.when(F.col("_in_target").isNull(), F.lit(MISSING)).when(F.col("_in_source").isNull(), F.lit(EXTRA)).when(F.size("changes") > 0, F.lit(VALUE)).otherwise(F.lit(MATCH))
         return j.withColumn("uid", identity.uid([F.col(p) for p in parts])).withColumn("status", status)
 
@@ -162,12 +175,14 @@ class Reconciliation:
         rows = self._joined.where(F.col("status") == VALUE).select("uid", F.explode("changes").alias("c"))
         return rows.select("uid", *self._named(rows, "c"))
 
-    def mismatches(self, details: bool = True) -> DataFrame:
+    def mismatches(self, details: bool = True, counts: Observation | None = None) -> DataFrame:
         """The long-form relation: a row for each missing and extra record and each changed cell.
 
-        ``row_detail`` is JSON with the raw records. The join is made once: presence rows get one cell without a column.
+        ``row_detail`` is JSON with the raw records. The join is made once: presence rows get one cell without a column,
+        and ``counts`` observes the summary on its way.
         """
-        j = self.joined(raw=details).where(F.col("status") != MATCH)
+        j = self.joined(raw=details)
+        j = (j.observe(counts, *self._summary()) if counts is not None else j).where(F.col("status") != MATCH)
         # a row without changes is kept by the outer explode
         rows = j.withColumn("c", F.explode_outer("changes"))
         detail = F.to_json(F.struct("uid", F.col("_source_record").alias("source_record"), F.col("_target_record").alias("target_record"))) if details else F.lit(None).cast("string")
@@ -190,11 +205,16 @@ class Reconciliation:
         rows = rows.withColumn("n", n).where(F.col("n") <= per_column)
         return rows.select("uid", F.lit(MATCH).alias("mismatch_type"), "c.column_name", F.col("c.v").alias("source_value"), F.col("c.v").alias("target_value"))
 
-    def summary(self) -> DataFrame:
-        """One row: missing, extra, changed cells and changed rows."""
+    @staticmethod
+    def _summary() -> list[Column]:
         changed = F.col("status") == VALUE
         count = lambda s: F.count_if(F.col("status") == s)
-        return self._joined.agg(count(MISSING).alias(MISSING), count(EXTRA).alias(EXTRA), F.coalesce(F.sum(F.when(changed, F.size("changes"))), F.lit(0)).cast("long").alias("value_mismatch_cells"), F.count_if(changed).alias("value_mismatch_rows"))
+        cells = F.coalesce(F.sum(F.when(changed, F.size("changes"))), F.lit(0)).cast("long")
+        return [count(MISSING).alias(MISSING), count(EXTRA).alias(EXTRA), cells.alias("value_mismatch_cells"), F.count_if(changed).alias("value_mismatch_rows")]
+
+    def summary(self) -> DataFrame:
+        """One row: missing, extra, changed cells and changed rows."""
+        return self._joined.agg(*self._summary())
 
     def partition_stats(self, partitions: int = 16, algorithm: str = "md5") -> DataFrame:
         """For each partition of keys its source, target, missing, extra and changed records."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .reconcile import EXTRA, MATCH, MISMATCH_COLUMNS, MISSING, VALUE
@@ -71,9 +71,10 @@ def sample_mixed(mismatches: DataFrame, limit: int) -> DataFrame:
     return first(MISSING, m).unionByName(first(EXTRA, e)).unionByName(sample_stratified(mismatches, v))
 
 
-def page(mismatches: DataFrame, limit: int, offset: int = 0, kind: str | None = None) -> DataFrame:
-    """A page in total order."""
+def page(mismatches: DataFrame, limit: int, offset: int = 0, kind: str | None = None, uids: Sequence[str] | None = None) -> DataFrame:
+    """A page in total order, of a kind and of some keys."""
     rows = mismatches.where(F.col("mismatch_type") == kind) if kind else mismatches
+    rows = rows.where(F.col("uid").isin(*uids)) if uids is not None else rows
     return rows.orderBy("mismatch_type", "uid", "column_name").offset(offset).limit(limit)
 
 
@@ -138,9 +139,26 @@ def markdown(summary: dict, schema_issues: Sequence[dict] = (), samples: Sequenc
     return "\n".join(out) + "\n"
 
 
-def write_json(value: object, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=1, default=str)
+def write_json(spark: SparkSession, value: object, path: str, lines: bool = False) -> None:
+    """A small value as a JSON file at any path that Spark writes; a list as JSON lines if asked."""
+    dump = lambda v, indent: json.dumps(v, ensure_ascii=False, indent=indent, default=str)
+    text = "".join(dump(v, None) + "\n" for v in value) if lines else dump(value, 1)
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_job(spark: SparkSession, folder: str, status: dict, result: dict | None = None, batch: Sequence[dict] = (), stages: dict | None = None) -> None:
+    """A job's files: status.json, result.json, batch_results.jsonl and stage_metrics.json, each if there is something to tell."""
+    for name, value in (("status", status), ("result", result), ("stage_metrics", stages)):
+        if value is not None:
+            write_json(spark, value, f"{folder}/{name}.json")
+    if batch:
+        write_json(spark, list(batch), f"{folder}/batch_results.jsonl", lines=True)
 
 
 def encrypt(c: Column, key: str) -> Column:

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.mapping import ColumnMapping, key_columns, resolve_fields
-from ..functions.structured import parse_literal
+from ..functions.structured import looks_structured
 from ..operators import compare, fixed_width, json_diff, report
 from ..operators.reconcile import MISSING, Reconciliation, multiset_difference
 from ..sources import archives, detect, readers, sniff
+from ..sources.scratch import save
 
 LITMUS, FULL = "litmus", "full"
-COMPLEX_ROWS = 100
+#: Endings of inputs that are opened here, as Spark's readers do not.
+ARCHIVES, UNREAD = (".zip", ".tar", ".tgz", ".tar.gz", ".tar.bz2"), (".zst", ".xz")
 
 
 @dataclass(frozen=True)
 class Request:
-    """Two inputs and how to compare them. ``uid`` may name several columns, comma-separated; empty compares whole records."""
+    """Two inputs and how to compare them. ``uid`` may name several columns, comma-separated; empty compares whole records.
+
+    Archives are compared by their entries; if a text format or the name of a ``leaf`` is given, by the file inside.
+    ``header_leading_rows`` and ``footer_trailing_rows`` are lines of a delimited file that are left out.
+    ``per_column_limit`` and ``sample_limit`` are the sizes of the samples that a result shows.
+    """
 
     source: str | list[str]
     target: str | list[str]
@@ -40,6 +50,7 @@ class Request:
     uid_gte: str | None = None
     per_column_limit: int | None = None
     sample_limit: int = 100
+    leaf: str | None = None
 
 
 @dataclass
@@ -52,23 +63,44 @@ class Result:
     schema_issues: list[dict] = field(default_factory=list)
     seconds: float = 0.0
     file_format: str = ""
+    per_column_limit: int | None = None
+    sample_limit: int = 100
+    stages: dict[str, float] = field(default_factory=dict)
 
     def samples(self, per_column: int | None = None) -> DataFrame:
-        return report.sample_grouped(self.mismatches, report.snippet_limit(per_column))
+        return report.sample_grouped(self.mismatches, report.snippet_limit(per_column if per_column is not None else self.per_column_limit))
+
+    def markdown(self, limit: int | None = None) -> str:
+        most = self.sample_limit if limit is None else limit
+        return report.markdown(self.summary, self.schema_issues, [r.asDict() for r in report.sample_mixed(self.mismatches, most).collect()], most=most)
+
+
+def opened(spark: SparkSession, request: Request) -> Request:
+    """The request with inputs that Spark's readers can open: the leaf of an archive, and files of other compressions, as text folders."""
+    fmt = readers.normal_format(request.file_format)
+    text = fmt in ("csv", "json", "fixed-width") or request.leaf is not None or bool(request.layout)
 
-    def markdown(self, limit: int = 50) -> str:
-        return report.markdown(self.summary, self.schema_issues, [r.asDict() for r in report.sample_mixed(self.mismatches, limit).collect()])
+    def one(path: str | list[str]) -> str | list[str]:
+        if not isinstance(path, str):
+            return [one(p) for p in path]
+        low = path.lower()
+        inner = fmt if fmt in archives.LEAVES else readers.format_of_path(low.rsplit(".", 1)[0]) if low.endswith(UNREAD) else "csv"
+        wanted = (low.endswith(ARCHIVES) and text) or low.endswith(UNREAD)
+        return archives.materialize(spark, path, inner if inner in archives.LEAVES else "csv", request.leaf) if wanted else path
+
+    return replace(request, source=one(request.source), target=one(request.target))
 
 
 def head(spark: SparkSession, path: str | list[str]) -> tuple[str, bytes]:
-    """Name and first bytes of an input's first file; small files come whole."""
+    """Name and first bytes of an input's first file, of a compressed one those of what it holds; small files come whole."""
     p = path if isinstance(path, str) else path[0]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select("path", "length").orderBy("path").limit(1).collect()
-    if not files:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select("path", "length")
+    first = files.agg(F.min(F.struct("path", "length")).alias("f")).select("f.*").first()
+    if first["path"] is None:
         return p, b""
-    one = spark.read.format("binaryFile").load(files[0]["path"])
-    content = F.col("content") if files[0]["length"] <= (8 << 20) else F.substring("content", 1, detect.SAMPLE)
-    return files[0]["path"].rsplit("/", 1)[-1], bytes(one.select(content.alias("c")).first()["c"] or b"")
+    one = spark.read.format("binaryFile").load(first["path"])
+    content = F.col("content") if first["length"] <= (8 << 20) else F.substring("content", 1, detect.SAMPLE)
+    return detect.peel(first["path"].rsplit("/", 1)[-1], bytes(one.select(content.alias("c")).first()["c"] or b""))
 
 
 def resolve(spark: SparkSession, request: Request) -> str:
@@ -88,13 +120,15 @@ def resolve(spark: SparkSession, request: Request) -> str:
 def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt: str, delimiter: str | None, lines: Sequence[str] | None = None) -> DataFrame:
     """``lines``: the first ones of a delimited input, if they have been read."""
     if fmt == "csv":
-        lines = lines if lines is not None else readers.first_lines(spark, path)[request.header_leading_rows :]
+        lines = lines if lines is not None else readers.first_lines(spark, path, skip=request.header_leading_rows)
         if not lines:
             return spark.createDataFrame([], T.StructType([]))
-        cells = [c.strip() for c in readers.split_line(lines[0], delimiter)]
+        quote = sniff.quote_character(lines, delimiter)
+        cells = [c.strip() for c in readers.split_line(lines[0], delimiter, quote)]
         header = request.has_header if request.has_header is not None else sniff.has_header(cells)
         names = [c or f"column_{i + 1}" for i, c in enumerate(cells)] if header else readers.synthetic_names(len(cells))
-        df = readers.read_delimited(spark, path, delimiter, header, None if lines[0].count('"') % 2 else names, request.header_leading_rows)
+        broken = lines[0].count(quote) % 2
+        df = readers.read_delimited(spark, path, delimiter, header, None if broken else names, request.header_leading_rows, skip_end=request.footer_trailing_rows, quote=quote)
     else:
         df = readers.as_text(readers.read_columnar(spark, path, fmt))
     keys = key_columns(request.uid)
@@ -104,28 +138,49 @@ def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt:
     return df
 
 
+def _bracketed(c: Column) -> Column:
+    """What every container literal looks like; no Python is needed for it."""
+    return F.coalesce(c.rlike(r"(?s)^\s*(\[.*\]|\{.*\}|\(.*\))\s*$"), F.lit(False))
+
+
 def complex_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
-    """Columns with a container literal in the first rows; no more partitions are read than these need."""
-    return _complex(df.limit(COMPLEX_ROWS).collect(), [c for c in columns if c in df.columns])
+    """Columns with a container literal in any row. One pass finds columns that have brackets; a literal is looked for in those only, up to the first."""
+    text = [c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+    if not text:
+        return []
+    col = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    seen = df.agg(*[F.max(_bracketed(col(c))).alias(f"c{i}") for i, c in enumerate(text)]).first()
+    return [c for i, c in enumerate(text) if seen[i] and not df.where(_bracketed(col(c))).where(looks_structured(col(c))).isEmpty()]
 
 
-def _complex(rows: Sequence[Row], columns: Sequence[str]) -> list[str]:
-    return [c for c in columns if any(isinstance(parse_literal(r[c]), dict | list | tuple) for r in rows)]
+def _has_brackets(spark: SparkSession, *paths: str | list[str]) -> bool:
+    """Whether any line of text inputs has an opening bracket; reading stops at the first."""
+    return any(not spark.read.text(p).where(F.col("value").rlike(r"[\[{(]")).isEmpty() for p in paths)
 
 
 def validate(spark: SparkSession, request: Request) -> Result:
-    """Run a request. Counts come from the mismatch relation, which is read once more for samples and exports."""
+    """Run a request. The mismatch relation is written once; counts, samples and exports come from it."""
     began = time.time()
-    fmt = resolve(spark, request)
-    result = ENGINES[fmt](spark, request, fmt)
+    try:
+        opened_ = opened(spark, request)
+        fmt = resolve(spark, opened_)
+        known = time.time()
+        result = ENGINES[fmt](spark, opened_, fmt)
+    except (PySparkException, Py4JJavaError) as e:
+        named = re.search(r"\[USER_RAISED_EXCEPTION\] (.*?)(?: SQLSTATE|\n|$)", str(e))  # a record that names itself
+        if named is None:
+            raise
+        raise ValueError(named[1]) from e
     result.seconds, result.file_format = time.time() - began, fmt
+    result.per_column_limit, result.sample_limit = request.per_column_limit, request.sample_limit
+    result.stages = {"resolve": known - began, "compare": time.time() - known}
     return result
 
 
 def _tables(spark: SparkSession, request: Request, fmt: str) -> Result:
     delimiter, lines = sniff.delimiter_token(request.delimiter) if fmt == "csv" else None, [None, None]
     if fmt == "csv":
-        lines = [readers.first_lines(spark, p)[request.header_leading_rows :] for p in (request.source, request.target)]
+        lines = [readers.first_lines(spark, p, skip=request.header_leading_rows) for p in (request.source, request.target)]
     if fmt == "csv" and delimiter is None:
         filled = [x for x in lines if x]
         delimiter = sniff.shared_delimiter(*lines) if len(filled) == 2 and min(map(len, filled)) > 1 else next((sniff.detect_delimiter(x) for x in filled if len(x) > 1), ",")
@@ -150,23 +205,37 @@ def _tables(spark: SparkSession, request: Request, fmt: str) -> Result:
         c = compare.litmus(s, t).first()
         return _finish(rows, c["source_rows"], c["target_rows"], issues)
     shared = [c for c in s.columns if c in t.columns]
-    sample = s.limit(COMPLEX_ROWS).collect()
-    fields = resolve_fields(request.column_mappings, keys, shared, _complex(sample, shared))
-    rows = Reconciliation(s, t, keys, fields, on_duplicate=request.on_duplicate).mismatches()
-    # rows are counted on their way into the join that makes the summary; a plan over no rows has no such way
-    seen = [Observation() if rows_there else None for rows_there in (bool(sample), bool(t.take(1)))]
-    whole = None not in seen
-    counted = [x.observe(o, F.count(F.lit(1)).alias("n")) if whole else x for x, o in zip((s, t), seen, strict=True)]
-    c = Reconciliation(*counted, keys, fields, on_duplicate=request.on_duplicate).summary().first().asDict()
-    summary = report.normal_summary({**c, "value_mismatch": c["value_mismatch_cells"]})
-    n = [o.get["n"] for o in seen] if whole else [x.count() for x in (s, t)]
-    return Result(rows, summary, not any(summary.values()), *n, issues)
+    nested = []
+    if fmt != "csv" or _has_brackets(spark, request.source, request.target):
+        nested = list(dict.fromkeys([*complex_columns(s, shared), *complex_columns(t, shared)]))
+    fields = resolve_fields(request.column_mappings, keys, shared, nested)
+    # rows are counted on their way into the join, and the summary on its way out; a plan over no rows has no such way
+    some = [not x.isEmpty() for x in (s, t)]
+    for x, path, rows_there in ((s, request.source, some[0]), (t, request.target, some[1])):
+        if not rows_there and fmt == "csv" and request.uid_gte is None:
+            compare.parsed_enough(0, _size(spark, path))
+    if not all(some):
+        r = Reconciliation(s, t, keys, fields, on_duplicate=request.on_duplicate)
+        c = r.summary().first().asDict()
+        return _result(save(r.mismatches(), "mismatches"), c, *(x.count() for x in (s, t)), issues)
+    seen, counts = [Observation(), Observation()], Observation()
+    s, t = (x.observe(o, F.count(F.lit(1)).alias("n")) for x, o in zip((s, t), seen, strict=True))
+    rows = save(Reconciliation(s, t, keys, fields, on_duplicate=request.on_duplicate).mismatches(counts=counts), "mismatches")
+    return _result(rows, counts.get, *(o.get["n"] for o in seen), issues)
+
+
+def _size(spark: SparkSession, path: str | list[str]) -> int:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+
+
+def _result(rows: DataFrame, counts: dict, source_rows: int, target_rows: int, issues: Sequence[dict]) -> Result:
+    summary = report.normal_summary({**counts, "value_mismatch": counts["value_mismatch_cells"]})
+    return Result(rows, summary, not any(summary.values()), source_rows, target_rows, list(issues))
 
 
 def _finish(rows: DataFrame, source_rows: int, target_rows: int, issues: Sequence[dict] = ()) -> Result:
-    c = fixed_width.status_of(rows).first().asDict()
-    summary = report.normal_summary({**c, "value_mismatch": c["value_mismatch_cells"]})
-    return Result(rows, summary, not any(summary.values()), source_rows, target_rows, list(issues))
+    rows = save(rows, "mismatches")
+    return _result(rows, fixed_width.status_of(rows).first().asDict(), source_rows, target_rows, issues)
 
 
 def _fixed_width(spark: SparkSession, request: Request, fmt: str) -> Result:
@@ -225,6 +294,7 @@ def preview(spark: SparkSession, request: Request, rows: int = 6, most: int = 20
     """Columns of both sides, their automatic mapping, leftovers, samples and complex columns."""
     from ..functions.mapping import auto_map
 
+    request = opened(spark, request)
     fmt = resolve(spark, request)
     delimiter = sniff.delimiter_token(request.delimiter) or (sniff.shared_delimiter(*(readers.first_lines(spark, p) for p in (request.source, request.target))) if fmt == "csv" else None)
     s, t = (read_side(spark, request, p, fmt, delimiter) for p in (request.source, request.target))
@@ -235,7 +305,7 @@ def preview(spark: SparkSession, request: Request, rows: int = 6, most: int = 20
     return {
         "file_format": fmt, "delimiter": delimiter, "source_columns": a, "target_columns": b, "mappings": pairs,
         "unmatched_source": [c for c in a if c not in used[0]], "unmatched_target": [c for c in b if c not in used[1]],
-        "source_sample": sample(s), "target_sample": sample(t), "complex_columns": complex_columns(s, a),
+        "source_sample": sample(s), "target_sample": sample(t), "complex_columns": list(dict.fromkeys([*complex_columns(s, a), *complex_columns(t, [c for c in b if c in a])])),
     }
 
 
@@ -246,10 +316,15 @@ def profile(spark: SparkSession, path: str) -> dict:
     size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
     fmt = r.suggested_format or readers.format_of_path(name)
     out = {"name": name, "size": size, "label": detect.display_label(name, content), "file_format": fmt, "columns": [], "rows": None}
-    if fmt in ("csv", "parquet", "orc"):
+    if fmt in ("csv", "parquet", "orc", "avro", "excel"):
         lines = readers.first_lines(spark, path) if fmt == "csv" else []
         df = readers.read_delimited(spark, path, sniff.detect_delimiter(lines), sniff.has_header(readers.split_line(lines[0], sniff.detect_delimiter(lines)))) if fmt == "csv" else readers.read_columnar(spark, path, fmt)
         out |= {"columns": df.columns, "rows": df.count()}
+    elif fmt == "json":
+        mode, rows = readers.read_json(spark, path)
+        out |= {"columns": sorted({r["key"] for r in json_diff.top_level_keys(rows).collect()}), "rows": rows.count()}
+    elif fmt == "fixed-width":
+        out["rows"] = spark.read.text(path).where(F.trim("value") != "").count()
     elif fmt in ("zip", "tar"):
         out["rows"] = archives.read_manifest(spark, path).count()
     return out

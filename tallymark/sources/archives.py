@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bz2
 import gzip
 import io
 import tarfile
@@ -13,7 +12,8 @@ from fnmatch import fnmatch
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .detect import by_magic, members
+from ..sources.scratch import scratch_path
+from .detect import COMPRESSIONS, NESTED, by_magic, members, unpacked
 
 # Limits of nested archives and of bombs.
 DEPTH, MEMBER_BYTES, ENTRIES = 3, 64 << 20, 1000
@@ -39,8 +39,13 @@ def entries(content: bytes, prefix: str = "", depth: int = DEPTH) -> Iterator[tu
     for r in rows:
         yield (prefix + r[0], *r[1:])
     if depth > 1:
-        for name, data in members(content, kind, MEMBER_BYTES):
+        for name, size, read in members(content, kind):
+            if not name.lower().endswith(NESTED) and size > MEMBER_BYTES:
+                continue  # listed above; only archives are looked into
+            data = read()
             if by_magic(data).type in ("zip", "tar") or name.lower().endswith((".tgz", ".tar.gz")):
+                if size > MEMBER_BYTES:
+                    raise ValueError(f"{prefix}{name} is a nested archive of over {MEMBER_BYTES} bytes")
                 yield from entries(data, f"{prefix}{name.strip('/')}/", depth - 1)
 
 
@@ -69,33 +74,64 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def leaf(content: bytes, pattern: str = "*", depth: int = DEPTH) -> tuple[str, bytes] | None:
-    """The first file inside that fits: nested containers first, then names in order."""
+    """The first file inside that fits: nested containers first, then names in order. Leaves may be of any size, nested containers of MEMBER_BYTES."""
     kind = by_magic(content).type
-    if kind in ("gzip", "bzip2"):
-        inner = gzip.decompress(content) if kind == "gzip" else bz2.decompress(content)
+    if kind in COMPRESSIONS and kind != "lz4":
+        inner = unpacked(kind, content)
         return leaf(inner, pattern, depth) or ("", inner)
     if kind not in ("zip", "tar") or depth < 1:
         return None
-    for name, data in members(content, kind, MEMBER_BYTES):
-        inner = leaf(data, pattern, depth - 1)
-        if inner:
-            return f"{name}/{inner[0]}".rstrip("/"), inner[1]
-        if fnmatch(name.rsplit("/", 1)[-1].lower(), pattern):
-            return name, data
+    guard([(name, size if kind == "tar" else packed, size, None, None, None, False) for name, size, packed in _sizes(content, kind)])
+    for name, size, read in members(content, kind):
+        fits = fnmatch(name.rsplit("/", 1)[-1].lower(), pattern.lower())
+        if name.lower().endswith(NESTED):
+            if size > MEMBER_BYTES:
+                raise ValueError(f"{name} is a nested archive of over {MEMBER_BYTES} bytes")
+            inner = leaf(read(), pattern, depth - 1)
+            if inner:
+                return f"{name}/{inner[0]}".rstrip("/"), inner[1]
+        if fits:
+            return name, read()
     return None
 
 
+def _sizes(content: bytes, kind: str) -> list[tuple[str, int, int]]:
+    """Name, unpacked and packed size of each file."""
+    if kind == "zip":
+        return [(i.filename, i.file_size, i.compress_size) for i in zipfile.ZipFile(io.BytesIO(content)).infolist() if not i.is_dir()]
+    return [(name, size, size) for name, size, _ in members(content, kind)]
+
+
 def read_leaf_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """archive, member, n, line: the non-blank lines of each archive's leaf."""
+    """archive, member, n, line: the physical lines of each archive's leaf, or of a compressed file; an archive without a leaf has none."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 found = leaf(content, pattern)
                 if found:
-                    lines = [x for x in found[1].decode("utf-8-sig", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()]
-                    for at in range(0, len(lines), 10_000):
-                        part = lines[at : at + 10_000]
+                    lines = io.TextIOWrapper(io.BytesIO(found[1]), "utf-8-sig", "replace")
+                    at = 0
+                    while part := [x.rstrip("\n") for _, x in zip(range(10_000), lines, strict=False)]:
                         yield pa.RecordBatch.from_arrays([pa.array([p] * len(part)), pa.array([found[0]] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part)], ["archive", "member", "n", "line"])
+                        at += len(part)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, n long, line string")
+
+
+# Which members are leaves of a text format.
+LEAVES = {"csv": ("*.csv", "*.tsv", "*.psv", "*.txt", "*.dat", "*"), "json": ("*.json", "*.jsonl", "*.ndjson", "*"), "fixed-width": ("*.dat", "*.txt", "*")}
+
+
+def materialize(spark: SparkSession, path: str, fmt: str, pattern: str | None = None) -> str:
+    """A folder of text with the lines of an archive's leaf; later stages read it like any text input.
+
+    Without a pattern the first of the format's names that some member has is taken.
+    """
+    for wanted in [pattern] if pattern else LEAVES[fmt]:
+        lines = read_leaf_lines(spark, path, wanted)
+        if not lines.limit(1).isEmpty():
+            out = scratch_path(spark, "leaf")
+            lines.select("line").write.text(out)
+            return out
+    raise ValueError(f"{path} holds no {pattern or fmt} file")

@@ -81,15 +81,12 @@ def field_type(values: Sequence[str]) -> str:
 
 
 def field_name(index: int, kind: str, values: Sequence[str]) -> str:
-    if index == 0:
-        return "record_id"
-    if any("@" in v for v in values):
-        return "email"
-    if kind == "date":
-        return "date"
-    if kind == "structured" and index < 3:
-        return ("tags", "metadata")[index - 1]
-    return "name" if index == 1 and kind != "structured" else f"field_{index + 1}"
+    """A name for a column by its place, and by its content after the first one."""
+    place = {0: ("record_id", "record_id"), 1: ("name", "tags"), 2: ("field_3", "metadata")}
+    plain, nested = place.get(index, (f"field_{index + 1}", f"field_{index + 1}"))
+    by_content = {"email": any("@" in v for v in values), "date": kind == "date"}
+    found = [name for name, fits in by_content.items() if fits and index]
+    return found[0] if found else nested if kind == "structured" else plain
 
 
 def infer_layout(source: Sequence[str], target: Sequence[str]) -> list[Column]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,31 +47,33 @@ def synthetic_names(n: int) -> list[str]:
     return [f"column_{i}" for i in range(1, n + 1)]
 
 
-def first_lines(spark: SparkSession, path: str, n: int = 100) -> list[str]:
-    """The first non-blank lines of a text input; limit stops after the first partitions."""
-    lines = spark.read.text(path).where(F.trim("value") != "").limit(n)
-    return [r["value"].removeprefix("\ufeff").rstrip("\r") for r in lines.collect()]
+def first_lines(spark: SparkSession, path: str | list[str], n: int = 100, skip: int = 0) -> list[str]:
+    """The first non-blank lines of a text input after ``skip`` physical ones; limit stops after the first partitions."""
+    lines = spark.read.text(path) if not skip else numbered_lines(spark, path).where(F.col("line") > skip).orderBy("line")
+    return [r["value"].removeprefix("\ufeff").rstrip("\r") for r in lines.where(F.trim("value") != "").limit(n).collect()]
 
 
 def read_delimited(
     spark: SparkSession, path: str | list[str], delimiter: str = ",", header: bool = True, names: Sequence[str] | None = None,
     skip_rows: int = 0, columns: Sequence[str] | None = None, encoding: str = "UTF-8", multi_line: bool | None = None, on_ragged: str = "pad",
+    skip_end: int = 0, quote: str = '"',
 ) -> DataFrame:
     """Delimited text with any delimiter, RFC 4180 quotes, all columns text.
 
     Short rows are padded with null and long ones cut; with ``on_ragged="flag"`` a column ``_ragged`` marks them.
     ``multi_line`` allows quoted line breaks but makes a file one split; if it is not given, a parallel scan for a line
     with an odd number of quotes decides.
-    ``skip_rows`` drops leading lines of the (single) file before the header.
+    ``skip_rows`` drops leading lines of the (single) file before the header, ``skip_end`` its last lines; such
+    files are read by line, so quoted line breaks are not allowed in them. ``quote`` is the dialect's quote character.
     """
+    if skip_rows or skip_end:
+        return _skipped(spark, path, delimiter, header, names, skip_rows, skip_end, columns, quote)
     if multi_line is None:
-        multi_line = has_quoted_breaks(spark, path)
-    reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option("emptyValue", "").option("mode", "PERMISSIVE")
+        multi_line = has_quoted_breaks(spark, path, quote)
+    reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option("emptyValue", "").option("mode", "PERMISSIVE")
     reader = reader.option("multiLine", multi_line)
-    if skip_rows:
-        return _skipped(spark, path, delimiter, header, names, skip_rows, columns)
     if names is None:
-        probe = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("encoding", encoding).option("multiLine", multi_line).option("header", False)
+        probe = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("encoding", encoding).option("multiLine", multi_line).option("header", False)
         first = probe.csv(path).limit(1).collect()
         cells = [(c or "").removeprefix("\ufeff").strip() for c in first[0]] if first else []
         names = [c or f"column_{i + 1}" for i, c in enumerate(cells)] if header else synthetic_names(len(cells))
@@ -90,11 +92,24 @@ def read_delimited(
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 
 
-def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+def has_quoted_breaks(spark: SparkSession, path: str | list[str], quote: str = '"') -> bool:
     """Whether a quote stays open at the end of some line; reading stops at the first."""
     value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(value.contains('"') & (quotes % 2 == 1)).isEmpty()
+    quotes = F.length(value) - F.length(F.replace(value, F.lit(quote), F.lit("")))
+    return not spark.read.text(path).where(value.contains(quote) & (quotes % 2 == 1)).isEmpty()
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, line: a file's physical lines with their numbers from 1, however many splits it has.
+
+    The splits of one file are in order; a table with a row a split says where each begins. Lines of several files are numbered on.
+    """
+    at = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    parts = at.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    parts = F.broadcast(parts.select("_part", before.alias("_before")))
+    low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.withColumn("_part", F.shiftright("_at", 33)).join(parts, "_part").select("value", (F.col("_before") + low + 1).alias("line"))
 
 
 def unique(names: Sequence[str]) -> list[str]:
@@ -107,42 +122,45 @@ def unique(names: Sequence[str]) -> list[str]:
     return out
 
 
-def _skipped(spark: SparkSession, path: str | list[str], delimiter: str, header: bool, names: Sequence[str] | None, skip: int, columns: Sequence[str] | None) -> DataFrame:
-    """Leading lines are few and known by their text: they are read off the head of the file and dropped by line number.
-
-    A text file's splits are in order, so the numbers that monotonically_increasing_id gives its first split begin the file.
-    """
-    lines = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
-    body = lines.where(F.col("_n") >= skip).where(F.trim("value") != "")
-    if header:
-        head = lines.where((F.col("_n") >= skip) & (F.trim("value") != "")).orderBy("_n").limit(1).collect()
-        if not head:
+def _skipped(
+    spark: SparkSession, path: str | list[str], delimiter: str, header: bool, names: Sequence[str] | None, skip: int, skip_end: int, columns: Sequence[str] | None, quote: str,
+) -> DataFrame:
+    """A file without its first and last lines: lines are dropped by their number and then parsed one by one."""
+    lines = numbered_lines(spark, path)
+    if skip_end:
+        total = spark.read.text(path).count()
+        lines = lines.where(F.col("line") <= total - skip_end)
+    body = lines.where((F.col("line") > skip) & (F.trim("value") != ""))
+    if header or names is None:
+        first = body.orderBy("line").limit(1).collect()
+        if not first:
             return spark.createDataFrame([], T.StructType([]))
-        names = [c.strip() for c in split_line(head[0]["value"], delimiter)]
-        body = body.where(F.col("_n") != head[0]["_n"])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in unique(names or ["column_1"])])
-    opts = {"sep": delimiter, "quote": '"', "escape": '"'}
-    parsed = body.select(F.from_csv("value", F.lit(schema.simpleString()[7:-1].replace(":", " ")), opts).alias("r")).select("r.*") if all(n.isidentifier() for n in schema.names) else body.select(F.split("value", F.lit(_quote(delimiter)), -1).alias("a")).select(*[F.get("a", F.lit(i)).alias(n) for i, n in enumerate(schema.names)])
-    return parsed.select(*columns) if columns else parsed
+        cells = split_line(first[0]["value"].removeprefix("\ufeff").rstrip("\r"), delimiter, quote)
+        names = names or ([c.strip() or f"column_{i + 1}" for i, c in enumerate(cells)] if header else synthetic_names(len(cells)))
+        body = body.where(F.col("line") != first[0]["line"]) if header else body
+    names = unique(names)
+    ddl = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
+    parsed = body.select(F.from_csv(F.regexp_replace("value", "\r$", ""), F.lit(ddl), {"sep": delimiter, "quote": quote, "escape": quote, "emptyValue": ""}).alias("r")).select("r.*")
+    return parsed.select(*[f"`{c}`" for c in columns]) if columns else parsed
 
 
 def _quote(literal: str) -> str:
     return "\\Q" + literal + "\\E"
 
 
-def split_line(line: str, delimiter: str) -> list[str]:
-    """Fields of a physical line: delimiters inside double quotes do not count, two quotes are one."""
+def split_line(line: str, delimiter: str, quote: str = '"') -> list[str]:
+    """Fields of a physical line: delimiters inside quotes do not count, two quotes are one."""
     out, cell, quoted, i = [], "", False, 0
     while i < len(line):
         c = line[i]
         if quoted:
-            if c == '"' and line[i + 1 : i + 2] == '"':
-                cell, i = cell + '"', i + 1
-            elif c == '"':
+            if c == quote and line[i + 1 : i + 2] == quote:
+                cell, i = cell + quote, i + 1
+            elif c == quote:
                 quoted = False
             else:
                 cell += c
-        elif c == '"' and not cell:
+        elif c == quote and not cell:
             quoted = True
         elif line.startswith(delimiter, i):
             out.append(cell)
@@ -153,27 +171,27 @@ def split_line(line: str, delimiter: str) -> list[str]:
     return [*out, cell]
 
 
-def column_count_errors(spark: SparkSession, path: str, delimiter: str, header: bool = True) -> DataFrame:
-    """Lines whose number of fields is not the first line's: line, fields, expected.
+def column_count_errors(spark: SparkSession, path: str, delimiter: str, quote: str = '"') -> DataFrame:
+    """Lines whose number of fields is not the first line's: line (its number in the file), fields, expected.
 
-    Fields are counted by an expression: quoted stretches are taken out first.
+    What quotes enclose is every second piece between them; delimiters are counted in the others. Cells may be of any length.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("line", F.monotonically_increasing_id() + 1)
-    n = F.size(F.split(F.regexp_replace("value", '"(?:[^"]|"")*"', "q"), F.lit(_quote(delimiter)), -1))
-    head = lines.limit(1).select(n.alias("n")).collect()
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    outside = F.filter(F.split("value", F.lit(_quote(quote)), -1), lambda piece, i: i % 2 == 0)
+    n = F.size(F.split(F.array_join(outside, "\n"), F.lit(_quote(delimiter)), -1))
+    head = lines.orderBy("line").limit(1).select(n.alias("n")).collect()
     expected = head[0]["n"] if head else 0
     return lines.select("line", n.alias("fields"), F.lit(expected).alias("expected")).where(F.col("fields") != expected)
 
 
 def read_columnar(spark: SparkSession, path: str | list[str], fmt: str) -> DataFrame:
-    """Parquet and ORC natively; Avro and Excel by Spark's module if it is there, else by our Python data sources."""
+    """Parquet and ORC natively; Avro files and Excel workbooks are parsed where Spark reads their bytes."""
     fmt = normal_format(fmt)
     if fmt in ("parquet", "orc"):
         return getattr(spark.read, fmt)(*([path] if isinstance(path, str) else path)) if fmt == "parquet" else spark.read.orc(path)
-    from .datasource import register
+    from .datasource import read_binary
 
-    register(spark)
-    return spark.read.format(f"tallymark_{fmt}").load(path)
+    return read_binary(spark, path, fmt)
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -268,6 +286,13 @@ def read_any(spark: SparkSession, path: str | list[str], fmt: str | None = None,
     raise ValueError(f"no table reader for {fmt}")
 
 
+def estimated_lines(spark: SparkSession, path: str | list[str], sample: int = 10_000) -> int:
+    """About how many lines a text input has: its size over the mean length of its first lines; exact if these are all. Compressed inputs are estimated by their compressed size."""
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+    head = spark.read.text(path).limit(sample).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes")).first()
+    return head["n"] if head["n"] < sample else round(size * head["n"] / head["bytes"])
+
+
 def row_count(df: DataFrame) -> int:
     """Exact, over parsed rows; Parquet and ORC answer from their footers."""
     return df.count()

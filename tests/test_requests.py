@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions.mapping import ColumnMapping
-from tallymark.operators import history
+from tallymark.operators import history, report
 from tallymark.plans.request import LITMUS, Request, preview, profile, run_batch, validate
 from tallymark.sources.scratch import save
 from tallymark.streaming.incremental import watch
@@ -94,16 +94,112 @@ def test_history(spark, tmp_path):
     first = history.entity_insights(runs).where("entity = 'a'").first()
     assert (first["success"], first["failed"], first["total"]) == (1, 1, 2) and [r["run_id"] for r in first["runs"]] == [2, 1]
     assert tuple(history.batch_summary(runs).first()) == (2, 1, 0, 1)
-    files = spark.createDataFrame([("employee_220526_20260528121212.csv", "tgt_employee.csv"), ("x/sales_data.csv", None), (None, None)], "source_name string, target_name string")
-    known = spark.createDataFrame([("employee", "Employee", ["emp", "staff"])], "name string, display_name string, aliases array<string>")
+    files = spark.createDataFrame([("ledger_20251231.csv", "tgt_ledger_eur.csv"), ("x/sales_data.csv", None), (None, None)], "source_name string, target_name string")
+    known = spark.createDataFrame([("ledger", "General ledger", ["books", "gl"])], "name string, display_name string, aliases array<string>")
     got = {r["source_name"]: (r["entity"], r["confidence"]) for r in history.infer_entities(files, known).collect()}
-    assert got == {"employee_220526_20260528121212.csv": ("employee", "medium"), "x/sales_data.csv": ("sales", "low"), None: ("unknown_entity", "low")}
-    new = spark.createDataFrame([("Employee", None, ["worker"]), ("New Thing", "New", None)], "name string, display_name string, aliases array<string>")
-    assert {tuple(map(str, r)) for r in history.upsert_entities(known, new).collect()} == {("employee", "Employee", "['emp', 'staff', 'worker']"), ("new_thing", "New", "[]")}
+    assert got == {"ledger_20251231.csv": ("ledger", "medium"), "x/sales_data.csv": ("sales", "low"), None: ("unknown_entity", "low")}
+    new = spark.createDataFrame([("Ledger", None, ["accounts"]), ("New Thing", "New", None)], "name string, display_name string, aliases array<string>")
+    assert {tuple(map(str, r)) for r in history.upsert_entities(known, new).collect()} == {("ledger", "General ledger", "['accounts', 'books', 'gl']"), ("new_thing", "New", "[]")}
     kept, m = history.delete_runs(runs, runs.select("run_id"), spark.createDataFrame([(1,)], "run_id int"))
     assert (kept.count(), m.count()) == (2, 2)
-    history.persist_run(runs, runs, f"{tmp_path}/h", cap=2)
-    assert spark.read.parquet(f"{tmp_path}/h/mismatches").count() == 2
+    # all of a run's mismatches or none
+    assert not history.persist_run(runs, runs, f"{tmp_path}/h", cap=2) and history.persist_run(runs, runs, f"{tmp_path}/h", cap=3)
+    assert spark.read.parquet(f"{tmp_path}/h/mismatches").count() == 3
+
+
+def test_history_upkeep(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "completed", "p"), (2, "pending", "p"), (3, "failed", "q")], "run_id int, status string, pair_key string")
+    found = spark.createDataFrame([(1, "a"), (3, "b")], "run_id int, uid string")
+    ids = lambda pair: [sorted(r["run_id"] for r in x.collect()) for x in pair]
+    assert ids(history.delete_runs(runs, found, pair="p")) == [[3], [3]] and ids(history.delete_runs(runs, found)) == [[], []]
+    drafts = spark.createDataFrame([(1, "z"), (2, "new"), (4, "new")], "run_id int, pair_key string")
+    assert {tuple(r) for r in history.save_draft(runs, drafts).collect()} == {(1, "completed", "p"), (3, "failed", "q"), (2, "pending", "new"), (4, "pending", "new")}
+    artifact = spark.createDataFrame([("x",), ("y",)], "uid string")
+    assert [r["uid"] for r in history.backfill(1, found, artifact).collect()] == ["a"]
+    assert {tuple(r) for r in history.backfill(9, found, artifact).collect()} == {(9, "x"), (9, "y")}
+    report.write_job(spark, f"{tmp_path}/job", {"state": "done"}, {"is_match": True}, [{"n": 1}, {"n": 2}], {"compare": 0.5})
+    assert json.loads((tmp_path / "job/status.json").read_text()) == {"state": "done"} and (tmp_path / "job/batch_results.jsonl").read_text() == '{"n": 1}\n{"n": 2}\n'
+    assert (tmp_path / "job/stage_metrics.json").exists() and (tmp_path / "job/result.json").exists()
+
+
+def test_structured_cells_anywhere(spark, tmp_path):
+    """A container literal far down, on the target's side only or on both, makes its column structured."""
+    row = lambda i, v: f'{i}|"{v}"'
+    s = write(tmp_path / "s.csv", "\n".join(["id|v", *[row(i, "x") for i in range(300)], row(900, "[1, 2]"), row(901, "{1: 2, 3: 4}")]))
+    t = write(tmp_path / "t.csv", "\n".join(["id|v", *[row(i, "x") for i in range(300)], row(900, "[2, 1]"), row(901, "{3: 4, 1: 2}")]))
+    assert validate(spark, Request(s, t, uid="id")).is_match
+    u = write(tmp_path / "u.csv", "\n".join(["id|v", *[row(i, "x") for i in range(300)], row(900, "(a) or (b)"), row(901, "[x")]))
+    assert validate(spark, Request(s, u, uid="id")).summary["value_mismatch"] == 2
+
+
+def test_leading_and_trailing_lines(spark, tmp_path):
+    """Lines before the header and after the data are left out, with any column names and quoted delimiters."""
+    s = write(tmp_path / "s.csv", 'report,x\n\nid,full name,a-b\n1,"Lee, Ann",x\n2,"say ""hi""",y\nTOTAL,2,\n')
+    t = write(tmp_path / "t.csv", 'report,y\n\nid,full name,a-b\n1,"Lee, Ann",x\n2,"say ""hi""",z\nTOTAL,3,\n')
+    r = validate(spark, Request(s, t, uid="id", file_format="csv", delimiter=",", header_leading_rows=2, footer_trailing_rows=1))
+    assert r.summary == {"missing_in_target": 0, "extra_in_target": 0, "value_mismatch": 1, "value_mismatch_rows": 1} and (r.source_rows, r.target_rows) == (2, 2)
+    first = json.loads(r.mismatches.first()["row_detail"])
+    assert first["source_record"]["full name"] == 'say "hi"'
+
+
+def test_sample_limits(spark, tmp_path):
+    s = write(tmp_path / "s.csv", "id,v\n" + "".join(f"{i},a\n" for i in range(40)))
+    t = write(tmp_path / "t.csv", "id,v\n" + "".join(f"{i},b\n" for i in range(40)))
+    r = validate(spark, Request(s, t, uid="id", per_column_limit=3, sample_limit=7))
+    assert r.samples().count() == 3 and r.markdown().count("value_mismatch | v") == 7 and set(r.stages) == {"resolve", "compare"}
+
+
+def test_single_quoted_dialect(spark, tmp_path):
+    s = write(tmp_path / "s.csv", "id,v\n1,'a, b'\n2,'c, d'\n3,e\n")
+    t = write(tmp_path / "t.csv", "id,v\n1,'a, b'\n2,'c, x'\n3,e\n")
+    r = validate(spark, Request(s, t, uid="id", file_format="csv", delimiter=","))
+    assert [(x["source_value"], x["target_value"]) for x in r.mismatches.collect()] == [("c, d", "c, x")]
+
+
+def test_archive_leaves_and_compressed_inputs(spark, tmp_path):
+    """The file inside an archive, nested ones too, and inputs of every compression, under auto and a named format."""
+    import bz2
+    import gzip
+    import io
+    import lzma
+    import tarfile
+
+    import zstandard
+
+    pair = [b"id,v\n1,a\n2,b\n", b"id,v\n1,a\n2,c\n"]
+    paths = {}
+    for side, data in zip("st", pair, strict=True):
+        inner = io.BytesIO()
+        with tarfile.open(fileobj=inner, mode="w:gz") as t:
+            info = tarfile.TarInfo("deep/data.csv")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+        with zipfile.ZipFile(tmp_path / f"{side}.zip", "w") as z:
+            z.writestr("readme.md", "no data")
+            z.writestr("data.csv", data)
+        with zipfile.ZipFile(tmp_path / f"{side}n.zip", "w") as z:
+            z.writestr("a.csv", "id,v\n9,9\n")
+            z.writestr("inner.tgz", inner.getvalue())
+        for end, pack in ((".gz", gzip.compress), (".bz2", bz2.compress), (".zst", zstandard.compress), (".xz", lzma.compress)):
+            (tmp_path / f"{side}.csv{end}").write_bytes(pack(data))
+    one = {"missing_in_target": 0, "extra_in_target": 0, "value_mismatch": 1, "value_mismatch_rows": 1}
+    for name in (".zip", "n.zip"):
+        assert validate(spark, Request(f"{tmp_path}/s{name}", f"{tmp_path}/t{name}", uid="id", file_format="csv")).summary == one
+    assert validate(spark, Request(f"{tmp_path}/s.zip", f"{tmp_path}/t.zip", uid="id", leaf="d*.csv", file_format="csv")).summary == one
+    for end in (".gz", ".bz2", ".zst", ".xz"):
+        assert validate(spark, Request(f"{tmp_path}/s.csv{end}", f"{tmp_path}/t.csv{end}", uid="id")).summary == one, end
+    assert validate(spark, Request(f"{tmp_path}/s.zip", f"{tmp_path}/t.zip")).file_format == "zip"
+    with pytest.raises(ValueError):
+        validate(spark, Request(f"{tmp_path}/s.zip", f"{tmp_path}/t.zip", file_format="csv", leaf="*.nope"))
+
+
+def test_json_lines_that_are_broken_are_named(spark, tmp_path):
+    good = write(tmp_path / "g.ndjson", '{"id": 1}\n{"id": 2}\n')
+    for line in ('{"v": 1}', '{"id": 3', "[1]", '{"id": null}'):
+        bad = write(tmp_path / "b.ndjson", '{"id": 1}\n{"id": 2}\n' + line + "\n")
+        with pytest.raises(ValueError, match="target record 3"):
+            validate(spark, Request(good, bad, uid="id", file_format="json"))
+        assert run_batch(spark, [Request(good, bad, uid="id", file_format="json")])[0]["status"] == "failed"
 
 
 def test_streaming_target(spark, tmp_path):

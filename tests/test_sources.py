@@ -13,7 +13,7 @@ from tallymark.operators import compare, json_diff
 from tallymark.operators.fixed_width import Slice, line_by_line, reconcile_fixed_width
 from tallymark.operators.quality import Constraint, check
 from tallymark.sources import archives, detect, layout, readers, sniff
-from tallymark.sources.datasource import AvroFile
+from tallymark.sources.datasource import AvroFile, logical, read_binary, sheet_rows
 
 
 def write(path, text):
@@ -40,6 +40,18 @@ def test_quotes_breaks_and_ragged_rows(spark, tmp_path):
     assert {(r["fields"], r["expected"]) for r in readers.column_count_errors(spark, write(tmp_path / "c.csv", 'a,b\n1,"x,y"\n1,2,3\n'), ",").collect()} == {(3, 2)}
 
 
+def test_faults_of_long_and_odd_lines(spark, tmp_path):
+    """Cells of a megabyte, many quotes, several delimiters; bad lines are named by their number."""
+    long = "x," * 500_000
+    path = write(tmp_path / "l.csv", f'a,b\n1,"{long}"\n\n1,2,3\n"{'""' * 100_000}",2\nonly\n')
+    assert {(r["line"], r["fields"]) for r in readers.column_count_errors(spark, path, ",").collect()} == {(4, 3), (6, 1)}
+    path = write(tmp_path / "m.csv", 'a||b\n"x||y"||2\n1||2||3\n1|2\n')
+    assert {(r["line"], r["fields"]) for r in readers.column_count_errors(spark, path, "||").collect()} == {(3, 3), (4, 1)}
+    numbers = readers.numbered_lines(spark, path).orderBy("line").collect()
+    assert [(r["line"], r["value"]) for r in numbers][2] == (3, "1||2||3")
+    assert readers.estimated_lines(spark, path) == 4 and readers.estimated_lines(spark, path, sample=2) in range(2, 8)
+
+
 def test_headerless_skipped_and_compressed(spark, tmp_path):
     assert readers.read_delimited(spark, write(tmp_path / "h.csv", "R01,x\nR02,y\n"), ",", header=False).columns == ["column_1", "column_2"]
     df = readers.read_delimited(spark, write(tmp_path / "s.csv", "junk\nmore junk\nid,v\n1,a\n2,b\n"), ",", skip_rows=2)
@@ -96,12 +108,12 @@ def zigzag(n):
             return out
 
 
-def avro(rows, codec="deflate"):
+def avro(rows, codec="deflate", pack=None):
     schema = json.dumps({"type": "record", "name": "r", "fields": [{"name": "id", "type": "long"}, {"name": "v", "type": ["null", "string"]}, {"name": "x", "type": "double"}]}).encode()
     text = lambda b: zigzag(len(b)) + b
     data = b"".join(zigzag(i) + (zigzag(0) if v is None else zigzag(1) + text(v.encode())) + struct.pack("<d", x) for i, v, x in rows)
     c = zlib.compressobj(wbits=-15)
-    data = c.compress(data) + c.flush() if codec == "deflate" else data
+    data = pack(data) if pack else c.compress(data) + c.flush() if codec == "deflate" else data
     return b"Obj\x01" + zigzag(2) + text(b"avro.schema") + text(schema) + text(b"avro.codec") + text(codec.encode()) + zigzag(0) + b"s" * 16 + zigzag(len(rows)) + zigzag(len(data)) + data + b"s" * 16
 
 
@@ -115,6 +127,31 @@ def test_excel_and_avro(spark, tmp_path):
     assert [tuple(r) for r in readers.read_columnar(spark, f"{tmp_path}/f.avro", "avro").collect()] == [("1", "a", "0.5"), ("-7", None, "2.0")]
 
 
+def test_dates_sheets_codecs_and_logical_types(spark, tmp_path):
+    styles = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="170" formatCode="dd.mm.yyyy hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>'
+    body = lambda cells: f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{cells}</sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheets><sheet name="One"/><sheet name="Two"/></sheets></workbook>')
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/worksheets/sheet1.xml", body("<row><c t='inlineStr'><is><t>a</t></is></c></row>"))
+        z.writestr("xl/worksheets/sheet2.xml", body("<row><c t='inlineStr'><is><t>day</t></is></c><c t='inlineStr'><is><t>at</t></is></c><c t='inlineStr'><is><t>n</t></is></c></row><row><c s='1'><v>45292</v></c><c s='2'><v>45292.75</v></c><c s='0'><v>45292</v></c></row>"))
+    assert sheet_rows((tmp_path / "d.xlsx").read_bytes(), "Two")[1] == ["2024-01-01", "2024-01-01T18:00:00", "45292"]
+    assert [tuple(r) for r in read_binary(spark, f"{tmp_path}/d.xlsx", "excel", sheet="Two").collect()] == [("2024-01-01", "2024-01-01T18:00:00", "45292")]
+    with pytest.raises(ValueError):
+        sheet_rows((tmp_path / "d.xlsx").read_bytes(), "Three")
+    with pytest.raises(ValueError):
+        sheet_rows(b"\xd0\xcf\x11\xe0rest")
+    import pyarrow as pa
+    import zstandard
+
+    rows = [(1, "a", 0.5), (-7, None, 2.0)] * 50
+    snappy = lambda b: pa.compress(b, codec="snappy", asbytes=True) + b"sum!"
+    for codec, pack in (("snappy", snappy), ("zstandard", zstandard.compress), ("bzip2", bz2.compress)):
+        assert [tuple(r.values()) for r in AvroFile(avro(rows, codec, pack)).records()] == rows
+    assert logical(19723, {"logicalType": "date"}).isoformat() == "2024-01-01" and logical(1, {"logicalType": "timestamp-millis"}).isoformat() == "1970-01-01T00:00:00.001000"
+    assert str(logical(b"\xff\x38", {"logicalType": "decimal", "scale": 2})) == "-2.00" and logical(3_600_000_000, {"logicalType": "time-micros"}).isoformat() == "01:00:00"
+
+
 # --- detection -----------------------------------------------------------------
 
 TAR = io.BytesIO()
@@ -256,7 +293,7 @@ def test_documents_by_order():
 def test_paths_and_details(spark):
     s, t = '{"a": {"b": [1, {"c": null}]}, "x": 1}', '{"a": {"b": [1, {"c": 2}]}, "y": [1]}'
     rows = list(json_diff.diff_rows("u", s, t, True))
-    assert {(r[1], r[2], r[3], r[4]) for r in rows} == {("value_mismatch", "a.b[1].c", None, "2"), ("missing_in_target", "x", "1", None), ("extra_in_target", "y", None, "[1]")}
+    assert {(r[1], r[2], r[3], r[4]) for r in rows} == {("value_mismatch", "a.b[1].c", "__NULL__", "2"), ("missing_in_target", "x", "1", None), ("extra_in_target", "y", None, "[1]")}
     assert json.loads(rows[-1][5])["parent_path"] in ("a.b[1]", "$")
     assert list(json_diff.diff_rows("u", '{"items":["a","b"],"meta":{"x":1,"y":2}}', '{"meta":{"y":2,"x":1},"items":["b","a"]}', False)) == []
     assert list(json_diff.diff_rows("u", '{"p": 1, "q": 2}', '{"z": 1}', False, [("p", "z")])) == []
