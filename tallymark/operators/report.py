@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import write_bytes
 from .reconcile import EXTRA, MATCH, MISMATCH_COLUMNS, MISSING, VALUE
 
 UNNAMED = "(unknown)"
@@ -143,13 +144,7 @@ def write_json(spark: SparkSession, value: object, path: str, lines: bool = Fals
     """A small value as a JSON file at any path that Spark writes; a list as JSON lines if asked."""
     dump = lambda v, indent: json.dumps(v, ensure_ascii=False, indent=indent, default=str)
     text = "".join(dump(v, None) + "\n" for v in value) if lines else dump(value, 1)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
+    write_bytes(spark, path, text.encode())
 
 
 def write_job(spark: SparkSession, folder: str, status: dict, result: dict | None = None, batch: Sequence[dict] = (), stages: dict | None = None) -> None:

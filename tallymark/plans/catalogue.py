@@ -14,7 +14,7 @@ from ..operators import compare, fixed_width, history, json_diff, quality, repor
 from ..operators.reconcile import Reconciliation, multiset_difference, positional
 from ..sources import layout, readers
 from ..sources.scratch import scratch_path
-from . import oracle
+from . import file_queries, oracle
 from .inputs import SQL, expand, frame, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,9 +96,15 @@ def _(spark, d):
     return _customers(spark, d).mismatches(details=False).drop("row_detail")
 
 
-@query("recon_row_detail")
+_record = lambda side, kind: ", ".join(f"CASE WHEN status <> '{kind}' THEN {side}{i} END AS {side}_{n}" for i, n in enumerate(CUSTOMER_CELLS))
+
+
+@query("recon_row_detail", f"""WITH {oracle.joined('customer_s', 'customer_t', ['id'], [(n, f"CAST({n} AS STRING)", f"CAST({n} AS STRING)") for n in CUSTOMER_CELLS])}
+    SELECT uid, status AS mismatch_type, {_record('s', 'extra_in_target')}, {_record('t', 'missing_in_target')} FROM j WHERE status <> 'value_match'""")
 def _(spark, d):
-    return _customers(spark, d).mismatches()
+    raw = lambda side, t, n: F.get_json_object("row_detail", f"$.{side}_record.{n}").alias(f"{t}_{n}")
+    rows = _customers(spark, d).mismatches()
+    return rows.select("uid", "mismatch_type", *[raw(side, side[0], n) for side in ("source", "target") for n in CUSTOMER_CELLS]).distinct()
 
 
 @query("recon_summary", f"""WITH {O_ORDER_M} SELECT count(*) FILTER (WHERE mismatch_type = 'missing_in_target') AS missing_in_target, count(*) FILTER (WHERE mismatch_type = 'extra_in_target') AS extra_in_target,
@@ -287,7 +293,11 @@ def _(spark, d):
 # --- litmus and schemas ---------------------------------------------------------------
 
 
-@query("litmus_counts", f"SELECT (SELECT count(*) FROM ({oracle.side('orders_s')}) AS a) AS source_rows, (SELECT count(*) FROM ({oracle.side('orders_t')}) AS b) AS target_rows, false AS same_rows, true AS same_columns")
+_columns = lambda name: f"(SELECT list(column_name) FROM (DESCRIBE {oracle.side(name)}))"
+
+
+@query("litmus_counts", f"""WITH c AS (SELECT (SELECT count(*) FROM ({oracle.side('orders_s')}) AS a) AS source_rows, (SELECT count(*) FROM ({oracle.side('orders_t')}) AS b) AS target_rows)
+    SELECT source_rows, target_rows, source_rows = target_rows AS same_rows, {_columns('orders_s')} = {_columns('orders_t')} AS same_columns FROM c""")
 def _(spark, d):
     return compare.litmus(load(spark, d, "orders_s"), load(spark, d, "orders_t"))
 
@@ -297,27 +307,33 @@ def _(spark, d):
     return compare.is_match(_orders(spark, d).status_counts())
 
 
-_SCHEMA_S = "VALUES ('id', 'bigint', true, 0, NULL, NULL), ('name', 'varchar(20)', true, 1, NULL, NULL), ('amount', 'decimal(10,2)', true, 2, 10, 2), ('gone', 'date', false, 3, NULL, NULL)"
-_SCHEMA_T = "VALUES ('id', 'int', true, 0, NULL, NULL), ('name', 'text', false, 1, NULL, NULL), ('amount', 'numeric(12,2)', true, 2, 12, 2), ('added', 'timestamp', true, 3, NULL, NULL)"
-_SCHEMA_COLS = "AS t(name, type, nullable, position, \"precision\", scale)"
+_SCHEMA_S = """SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'bigint' WHEN 1 THEN 'varchar(20)' ELSE 'decimal(10,2)' END AS type, n_nationkey % 4 <> 0 AS nullable,
+    n_nationkey AS position, CASE WHEN n_nationkey % 3 = 2 THEN 10 END AS precision, CASE WHEN n_nationkey % 3 = 2 THEN 2 END AS scale FROM {nation} WHERE n_nationkey % 7 <> 1"""
+_SCHEMA_T = """SELECT n_name AS name, CASE WHEN n_nationkey % 6 = 0 THEN 'date' WHEN n_nationkey % 3 = 0 THEN 'int' WHEN n_nationkey % 3 = 1 THEN 'text' WHEN n_nationkey % 2 = 0 THEN 'decimal(10,2)' ELSE 'numeric(12,2)' END AS type,
+    n_nationkey % 8 <> 0 AS nullable, n_nationkey AS position, CASE WHEN n_nationkey % 3 = 2 THEN CASE WHEN n_nationkey % 2 = 0 THEN 10 ELSE 12 END END AS precision, CASE WHEN n_nationkey % 3 = 2 THEN 2 END AS scale FROM {nation} WHERE n_nationkey % 5 <> 2"""
 
 
-def _schemas(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return tuple(spark.sql(f"SELECT * FROM {v} {_SCHEMA_COLS.replace(chr(34), '`')}") for v in (_SCHEMA_S, _SCHEMA_T))
+def _schemas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return frame(spark, d, _SCHEMA_S), frame(spark, d, _SCHEMA_T)
 
 
-_schema_both = f"WITH s AS (SELECT * FROM ({_SCHEMA_S}) {_SCHEMA_COLS}), t AS (SELECT * FROM ({_SCHEMA_T}) {_SCHEMA_COLS}), j AS (SELECT coalesce(s.name, t.name) AS column_name, s.type AS a, t.type AS b, s.nullable AS an, t.nullable AS bn, s.precision AS ap, t.precision AS bp, s.name IS NOT NULL AS x, t.name IS NOT NULL AS y FROM s FULL OUTER JOIN t ON s.name = t.name)"
+_family = lambda c: f"CASE WHEN {c} IN ('bigint', 'int') THEN 'integer' WHEN {c} LIKE 'varchar%' OR {c} = 'text' THEN 'string' WHEN {c} LIKE 'decimal%' OR {c} LIKE 'numeric%' THEN 'decimal' ELSE {c} END"
+_schema_both = f"""WITH s AS ({expand(_SCHEMA_S)}), t AS ({expand(_SCHEMA_T)}), j AS (SELECT coalesce(s.name, t.name) AS column_name, s.type AS a, t.type AS b, s.nullable AS an, t.nullable AS bn, s.precision AS ap, t.precision AS bp,
+    s.scale AS az, t.scale AS bz, s.name IS NOT NULL AS x, t.name IS NOT NULL AS y FROM s FULL OUTER JOIN t ON s.name = t.name)"""
 _presence = "SELECT column_name, 'missing_in_target' AS issue, a AS source_value, NULL AS target_value FROM j WHERE NOT y UNION ALL SELECT column_name, 'extra_in_target', NULL, b FROM j WHERE NOT x"
 
 
 @query("schema_diff", f"{_schema_both} {_presence} UNION ALL SELECT column_name, 'type_mismatch', a, b FROM j WHERE x AND y AND a <> b")
 def _(spark, d):
-    return compare.schema_diff(*_schemas(spark))
+    return compare.schema_diff(*_schemas(spark, d))
 
 
-@query("schema_diff_harmonized", f"{_schema_both} {_presence} UNION ALL SELECT column_name, 'nullable_mismatch', CAST(an AS STRING), CAST(bn AS STRING) FROM j WHERE x AND y AND an <> bn UNION ALL SELECT column_name, 'precision_mismatch', CAST(ap AS STRING), CAST(bp AS STRING) FROM j WHERE x AND y AND ap IS DISTINCT FROM bp")
+@query("schema_diff_harmonized", f"""{_schema_both} {_presence} UNION ALL SELECT column_name, 'type_mismatch', a, b FROM j WHERE x AND y AND {_family('a')} <> {_family('b')}
+    UNION ALL SELECT column_name, 'nullable_mismatch', CAST(an AS STRING), CAST(bn AS STRING) FROM j WHERE x AND y AND an <> bn
+    UNION ALL SELECT column_name, 'precision_mismatch', CAST(ap AS STRING), CAST(bp AS STRING) FROM j WHERE x AND y AND ap IS DISTINCT FROM bp
+    UNION ALL SELECT column_name, 'scale_mismatch', CAST(az AS STRING), CAST(bz AS STRING) FROM j WHERE x AND y AND az IS DISTINCT FROM bz""")
 def _(spark, d):
-    return compare.schema_diff(*_schemas(spark), harmonized=True)
+    return compare.schema_diff(*_schemas(spark, d), harmonized=True)
 
 
 # --- counts, samples, pages -------------------------------------------------------------
@@ -361,7 +377,11 @@ def _(spark, d):
     return report.sample_grouped(_mismatches(spark, d), 10).drop("row_detail")
 
 
-@query("sample_mixed")
+@query("sample_mixed", f"""WITH {O_ORDER_M}, n AS (SELECT count(*) FILTER (WHERE mismatch_type = 'missing_in_target') AS a, count(*) FILTER (WHERE mismatch_type = 'extra_in_target') AS b, count(*) FILTER (WHERE mismatch_type = 'value_mismatch') AS c FROM m),
+    p AS (SELECT {_five}, row_number() OVER (PARTITION BY mismatch_type ORDER BY uid, column_name) AS turn FROM m WHERE mismatch_type <> 'value_mismatch'
+          UNION ALL SELECT {_five}, row_number() OVER (ORDER BY nth, column_name) FROM (SELECT *, {_nth.format('column_name')} AS nth FROM m WHERE mismatch_type = 'value_mismatch') AS v),
+    q AS (SELECT *, row_number() OVER (ORDER BY turn, CASE mismatch_type WHEN 'missing_in_target' THEN 0 WHEN 'extra_in_target' THEN 1 ELSE 2 END) AS place FROM p)
+    SELECT {_five} FROM q WHERE place <= 30""")
 def _(spark, d):
     return report.sample_mixed(_mismatches(spark, d), 30).drop("row_detail")
 
@@ -432,22 +452,26 @@ def _(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"))
 
 
-FILES = "SELECT 'in/' || lower(n_name) || '_220526_20260528121212.csv' AS source_name, 'out/target_' || lower(n_name) || '_final.csv' AS target_name FROM {nation}"
+FILES = "SELECT n_nationkey AS n, 'in/' || lower(n_name) || '_20251231.csv' AS source_name, 'out/target_' || lower(n_name) || '_final.csv' AS target_name FROM {nation}"
 
 
-@query("entity_tokens", f"SELECT source_name, list_filter(string_split_regex(regexp_replace(string_split(source_name, '/')[-1], '\\.[^.]*$', ''), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('source','target','src','tgt','file','final','raw','data') AND NOT (regexp_full_match(w, '[0-9]+') AND length(w) IN (6,8,10,12,14)))[1] AS first_token FROM ({expand(FILES)}) AS f")
+@query("entity_tokens", f"SELECT source_name, array_to_string(list_filter(string_split_regex(regexp_replace(string_split(source_name, '/')[-1], '\\.[^.]*$', ''), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('source','target','src','tgt','file','final','raw','data') AND NOT (regexp_full_match(w, '[0-9]+') AND length(w) IN (6,8,10,12,14))), ' ') AS words FROM ({expand(FILES)}) AS f")
 def _(spark, d):
     f = frame(spark, d, FILES)
-    return f.select("source_name", F.get(history.tokens(F.col("source_name")), F.lit(0)).alias("first_token"))
+    return f.select("source_name", F.array_join(history.tokens(F.col("source_name")), " ").alias("words"))
+
 
+_KNOWN = "SELECT lower(n_name) AS name FROM {nation} WHERE n_nationkey % 3 <> 0"
 
-@query("infer_entities")
+
+@query("infer_entities", f"""WITH k AS ({expand(_KNOWN)}), f AS ({expand(FILES)}), w AS (SELECT f.*, split_part(lower(string_split(source_name, '/')[-1]), '_2025', 1) AS own FROM f)
+    SELECT source_name, target_name, CASE WHEN n % 3 <> 0 THEN own ELSE (SELECT min(name) FROM k) END AS entity, CASE WHEN n % 3 <> 0 THEN 2 ELSE 1 END AS score, CASE WHEN n % 3 <> 0 THEN 'high' ELSE 'medium' END AS confidence FROM w""")
 def _(spark, d):
-    known = frame(spark, d, "SELECT lower(r_name) AS name, r_name AS display_name, array(lower(r_name)) AS aliases FROM {region}")
-    return history.infer_entities(frame(spark, d, FILES), known)
+    known = frame(spark, d, _KNOWN).withColumns({"display_name": F.upper("name"), "aliases": F.lit(None).cast("array<string>")})
+    return history.infer_entities(frame(spark, d, FILES).drop("n"), known).withColumn("score", F.col("score").cast("int"))
 
 
-@query("upsert_entities")
+@query("upsert_entities", """SELECT regexp_replace(lower(r_name), '[^a-z0-9]+', '_', 'g') AS name, r_name AS display_name, array_to_string(list_sort(['zone', lower(r_name)]), ',') AS aliases FROM region""")
 def _(spark, d):
     known = frame(spark, d, "SELECT lower(r_name) AS name, r_name AS display_name, array(lower(r_name)) AS aliases FROM {region}")
     new = frame(spark, d, "SELECT r_name AS name, CAST(NULL AS STRING) AS display_name, array('zone', lower(r_name)) AS aliases FROM {region}")
@@ -528,7 +552,10 @@ def _(spark, d):
     return layout.blank_positions(load(spark, d, "fixed_s"))
 
 
-@query("field_type_inference", "SELECT * FROM (VALUES ('id', 'integer'), ('price', 'float'), ('odate', 'date'), ('priority', 'text')) AS t(column_name, field_type)")
+_kind = lambda c: f"CASE WHEN bool_or(try_strptime({c}, '%Y-%m-%d') IS NOT NULL) THEN 'date' WHEN bool_and(regexp_full_match({c}, '-?[0-9]+')) THEN 'integer' WHEN bool_and(regexp_full_match({c}, '-?[0-9]+(\\.[0-9]+)?')) THEN 'float' ELSE 'text' END"
+
+
+@query("field_type_inference", f"WITH x AS ({oracle.side('orders_s')}) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {_kind(c)} AS field_type FROM x" for c in ("id", "price", "odate", "priority")))
 def _(spark, d):
     return layout.column_types(load(spark, d, "orders_s"), ["id", "price", "odate", "priority"])
 
@@ -541,11 +568,13 @@ def _(spark, d):
 # --- names, files, JSON ---------------------------------------------------------------------------
 
 
-@query("automap_columns", "SELECT * FROM (VALUES ('User_ID', 'userid'), ('Full Name', 'full_name')) AS t(source_column, target_column)")
+_NAMES = "SELECT n_name || ' Id' AS name, n_nationkey AS position FROM {nation}", "SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'other_' ELSE '' END || lower(n_name) || '_id' AS name, 99 - n_nationkey AS position FROM {nation} WHERE n_nationkey % 7 <> 3"
+_bare = "regexp_replace(lower({}.name), '[^a-z0-9]', '', 'g')"
+
+
+@query("automap_columns", f"WITH s AS ({expand(_NAMES[0])}), t AS ({expand(_NAMES[1])}) SELECT s.name AS source_column, t.name AS target_column FROM s JOIN t ON {_bare.format('s')} = {_bare.format('t')}")
 def _(spark, d):
-    s = spark.sql("SELECT * FROM VALUES ('User_ID', 0), ('Full Name', 1), ('Status', 2) AS t(name, position)")
-    t = spark.sql("SELECT * FROM VALUES ('full_name', 0), ('userid', 1), ('Account_Status', 2) AS t(name, position)")
-    return compare.map_columns(s, t)
+    return compare.map_columns(*[frame(spark, d, n) for n in _NAMES])
 
 
 _PATHS = "SELECT 'a/' || lower(n_name) || '.csv' AS path FROM {nation}", "SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'b/other/' ELSE 'b/' END || lower(n_name) || '.csv' AS path FROM {nation} WHERE n_nationkey % 5 <> 0"
@@ -581,14 +610,22 @@ def _deep(spark: SparkSession, d: str, ordered: bool) -> DataFrame:
     return json_diff.diff_json(s.withColumnRenamed("json", "source").join(t.withColumnRenamed("json", "target"), "uid"), ordered)
 
 
-@query("json_deep_diff_ordered")
+_paths = lambda: [F.get_json_object("row_detail", f"$.{c}").alias(c) for c in ("json_path", "parent_path")]
+_items = """WITH e AS (SELECT user_id % 50 AS u, event_id, CASE WHEN event_id % 40 = 0 THEN -event_id ELSE event_id END AS v FROM events),
+    i AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY event_id) - 1 AS si, row_number() OVER (PARTITION BY u ORDER BY v) - 1 AS ti FROM e)"""
+_at = "'items[' || CAST({} AS STRING) || ']'"
+
+
+@query("json_deep_diff_ordered", f"""{_items} SELECT CAST(a.u AS STRING) AS uid, 'value_mismatch' AS mismatch_type, {_at.format('a.si')} AS column_name, CAST(a.event_id AS STRING) AS source_value, CAST(b.v AS STRING) AS target_value,
+    {_at.format('a.si')} AS json_path, 'items' AS parent_path FROM i AS a JOIN i AS b ON a.u = b.u AND a.si = b.ti WHERE a.event_id <> b.v""")
 def _(spark, d):
-    return _deep(spark, d, True)
+    return _deep(spark, d, True).select("uid", "mismatch_type", "column_name", "source_value", "target_value", *_paths())
 
 
-@query("json_deep_diff", "WITH e AS (SELECT user_id % 50 AS u, event_id FROM events WHERE event_id % 40 = 0 AND event_id <> 0) SELECT CAST(u AS STRING) AS uid, 'missing_in_target' AS mismatch_type, CAST(event_id AS STRING) AS source_value, NULL AS target_value FROM e UNION ALL SELECT CAST(u AS STRING), 'extra_in_target', NULL, CAST(-event_id AS STRING) FROM e")
+@query("json_deep_diff", f"""{_items} SELECT CAST(u AS STRING) AS uid, 'missing_in_target' AS mismatch_type, {_at.format('si')} AS column_name, CAST(event_id AS STRING) AS source_value, NULL AS target_value, {_at.format('si')} AS json_path, 'items' AS parent_path FROM i WHERE event_id <> v
+    UNION ALL SELECT CAST(u AS STRING), 'extra_in_target', {_at.format('ti')}, NULL, CAST(v AS STRING), {_at.format('ti')}, 'items' FROM i WHERE event_id <> v""")
 def _(spark, d):
-    return _deep(spark, d, False).select("uid", "mismatch_type", "source_value", "target_value")
+    return _deep(spark, d, False).select("uid", "mismatch_type", "column_name", "source_value", "target_value", *_paths())
 
 
 _LISTS = "SELECT CAST(o_orderkey AS STRING) AS id, '[' || CAST(o_orderkey AS STRING) || ', ' || CAST(o_custkey AS STRING) || ']' AS a, '[' || CASE WHEN o_orderkey % 10 = 0 THEN '0' ELSE CAST(o_custkey AS STRING) END || ',' || CAST(o_orderkey AS STRING) || ']' AS b FROM {orders}"
@@ -633,13 +670,6 @@ def _(spark, d):
     return report.counts_by_type(report.read_ndjson(spark, path))
 
 
-@query("column_count_errors", "SELECT CAST(0 AS BIGINT) AS n, 4 AS expected")
-def _(spark, d):
-    df = load(spark, d, "customer_s").select(F.concat_ws(",", "id", "name", "balance", "segment").alias("value"))
-    df.write.text(path := scratch_path(spark, "lines"))
-    return readers.column_count_errors(spark, path, ",").agg(F.count(F.lit(1)).alias("n"), F.lit(4).alias("expected"))
-
-
 @query("manifest_diff", "SELECT CAST(p_partkey AS STRING) AS uid, CASE WHEN p_partkey % 9 = 0 THEN 'missing_in_target' ELSE 'value_mismatch' END AS mismatch_type, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 'crc32' END AS column_name, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS STRING) END AS source_value, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size + 1 AS STRING) END AS target_value FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 8 = 0")
 def _(spark, d):
     s = frame(spark, d, "SELECT CAST(p_partkey AS STRING) AS path, p_partkey AS k, 1 AS compressed_size, 2 AS uncompressed_size, p_size AS crc32, 8 AS compress_type FROM {part}")
@@ -652,3 +682,7 @@ def _(spark, d):
     df = spark.read.parquet(f"{d}/region.parquet")
     key = "0123456789abcdef"
     return df.select(F.col("r_regionkey").alias("k"), report.decrypt(report.encrypt(F.col("r_name"), key), key).alias("name"))
+
+
+for _name, (_run, _sql) in file_queries.ALL.items():
+    query(_name, _sql)(_run)

@@ -44,6 +44,17 @@ def save(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
+    """A small file at any path that Spark writes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the application's tables; results that still read them must have been written before."""
     jvm = spark._jvm
