@@ -25,8 +25,10 @@ MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 512
 #: Min-hashes of an example's word triples, and how many two examples have in common if they are copies of each other.
 SKETCH, BAND, COPY = 64, 8, 52
 SPACE = 1 << 20
-#: The largest deviation that chance alone gives among so many pieces, in standard deviations.
-CHANCE = math.sqrt(2 * math.log(SPACE))
+#: A feature is this many times as frequent in confirmed examples as in unlabelled text, and so many standard deviations from equally frequent. Chosen on the training folds.
+LIFT, DEVIATIONS = 2, 4
+#: Where the score's decision lies, and by how much at most the bias is raised to bring the share above it to the class prior. Chosen on the training folds.
+DECISION, MOST_RAISED = 0.7, 1.0
 #: Words a worker remembers, and the longest of them in characters; longer ones are looked at as a whole each time.
 MEMORY, LONGEST = 300_000, 128
 
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     counts = sample.mapInArrow(_frequencies, "piece int, p int, u int").groupBy("piece").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b = F.col("p") / n_p, F.col("u") / n_u
     z = (a - b) / F.sqrt((F.col("p") + F.col("u") + 1) / (n_p + n_u) * (1 / n_p + 1 / n_u))
-    best = counts.withColumn("z", z).where((a > 3 * b) & (F.col("p") >= 3) & (F.col("z") > CHANCE)).orderBy(F.desc("z"), "piece").limit(MAX_FEATURES).collect()
+    best = counts.withColumn("z", z).where((a > LIFT * b) & (F.col("p") >= 3) & (F.col("z") > DEVIATIONS)).orderBy(F.desc("z"), "piece").limit(MAX_FEATURES).collect()
     if not best:
         return None
     scorer = Scorer({r["piece"]: i for i, r in enumerate(best)})
@@ -216,7 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
         x[r["positive"]][at[r["positive"]], r["f"]] = 1
         at[r["positive"]] += 1
     weights, bias = train(x[True], x[False], prior)
-    return Scorer(scorer.chosen, weights, bias)
+    return Scorer(scorer.chosen, weights, bias + raised(x[False] @ weights + bias, prior))
+
+
+def raised(logits: np.ndarray, prior: float) -> float:
+    """What the bias needs so that the share ``prior`` of the unlabelled logits reaches the decision, at most MOST_RAISED: held-back weights leave scores low."""
+    least = np.sort(logits)[::-1][min(len(logits) - 1, round(prior * len(logits)))]
+    return float(np.clip(math.log(DECISION / (1 - DECISION)) - least, 0, MOST_RAISED))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held: int = 1) -> DataFrame:

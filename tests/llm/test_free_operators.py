@@ -507,6 +507,14 @@ def test_tied_voters_all_vote():
     assert voters.score(vectors[:1])[0] == pytest.approx(0.5)
 
 
+def test_bias_is_raised_to_the_prior():
+    logits = np.linspace(-4, 0.5, 100)
+    up = toxicity.raised(logits, 0.1)
+    assert 0 < up <= toxicity.MOST_RAISED and toxicity.raised(logits + 9, 0.1) == 0.0 and toxicity.raised(logits - 9, 0.1) == toxicity.MOST_RAISED
+    near = toxicity.raised(logits + 0.5, 0.1)
+    assert ((logits + 0.5 + near) >= np.log(0.7 / 0.3) - 1e-9).mean() == pytest.approx(0.11, abs=0.011)
+
+
 def test_copies_of_examples_are_those_that_agree():
     rng = random.Random(3)
     base = [f"w{rng.randrange(9999)}" for _ in range(400)]
