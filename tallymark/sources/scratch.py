@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +39,50 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_folder(spark)}/{uuid.uuid4().hex}/{label}"
 
 
+class Phase:
+    """Tables made in a block, by thread: all are deleted at its end but those that are kept, which belong to the block around it.
+
+    ``with Phase(spark) as phase: ...; return phase.keep(save(df, "result"))``. What is kept must be all that later plans read.
+    """
+
+    _open: ClassVar[threading.local] = threading.local()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    @classmethod
+    def stack(cls) -> list[Phase]:
+        if not hasattr(cls._open, "phases"):
+            cls._open.phases = []
+        return cls._open.phases
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, a table that ``save`` gave."""
+        self.kept.add(df._scratch_path)
+        return df
+
+    def __enter__(self) -> Phase:
+        self.stack().append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.stack().pop()
+        for path in self.paths:
+            if path not in self.kept:
+                _delete(self.spark, path)
+            elif self.stack():
+                self.stack()[-1].paths.append(path)
+
+
 def save(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` and read it back: lineage is cut, statistics are known, a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if Phase.stack():
+        Phase.stack()[-1].paths.append(path)
+    return out
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
@@ -55,8 +96,11 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the application's tables; results that still read them must have been written before."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
