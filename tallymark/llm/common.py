@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import save, scratch_root
+from ..sources.scratch import Phase, save, scratch_root
 
 #: Fixed value: the white space of every contract, as a Java and Python character class body.
 BLANKS = r"\x20\x09-\x0D"
@@ -158,4 +158,4 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return s.withColumn("_range", F.shiftright("_at", 33)).join(parts, "_range").withColumn("_rank", F.col("_before") + low).drop("_range", "_before", "_at")
 
 
-__all__ = ["BLANKS", "batches", "beside_groups", "blocks", "fold", "fresh", "group_bounds", "placed_rows", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty"]
+__all__ = ["BLANKS", "Phase", "batches", "beside_groups", "blocks", "fold", "fresh", "group_bounds", "placed_rows", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty"]

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, beside_groups, placed_rows, save, text_or_empty
+from .common import BLANKS, Phase, beside_groups, placed_rows, save, text_or_empty
 
 #: Memtables of a batch, and runs that one merge takes.
 MEMTABLES, FANOUT = 8, 4
@@ -144,15 +144,18 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     ``digest`` maps the normalised text to binary; texts that share it are told apart by their bytes.
     """
     base = docs.select(docs[doc_id].alias("id"), normalise(docs[text]).alias("norm"))
-    index, level, table, blocks = _build(base, digest)
-    texts = may_hit(base.withColumn("digest", digest(F.col("norm"))), table, blocks).where("may_hit")
-    verified = texts.groupBy("digest", "norm").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
-    collided = save(verified.where("texts > 1").select("digest"), "collided")
-    found = level.where("n > 1").select("digest", F.col("first.id").alias("keep_id"), F.col("first.batch").alias("keep_batch"), F.col("first.tag").alias("keep_tag"), "n")
-    n_collided = collided.count()
-    if n_collided:
-        found = found.join(collided, "digest", "left_anti")
-    groups = save(found, "groups")
+    with Phase(docs.sparkSession) as phase:
+        index, level, table, blocks = _build(base, digest)
+        for kept in (*index.logs, table):
+            phase.keep(kept)
+        texts = may_hit(base.withColumn("digest", digest(F.col("norm"))), table, blocks).where("may_hit")
+        verified = texts.groupBy("digest", "norm").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+        collided = phase.keep(save(verified.where("texts > 1").select("digest"), "collided"))
+        found = level.where("n > 1").select("digest", F.col("first.id").alias("keep_id"), F.col("first.batch").alias("keep_batch"), F.col("first.tag").alias("keep_tag"), "n")
+        n_collided = collided.count()
+        if n_collided:
+            found = found.join(collided, "digest", "left_anti")
+        groups = phase.keep(save(found, "groups"))
     rows = may_hit(index.entries(), table, blocks)
     single = lambda df: df.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     out = single(rows.where("NOT may_hit"))
@@ -184,7 +187,9 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     names = docs.columns
     tagged, at = placed_rows(docs)
     row = tagged.select(F.col(doc_id).alias("id"), normalise(F.col(text)).alias("norm"), F.col(at).alias("at"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    _, _, table, blocks = _build(row.select("id", "norm"), digest)
+    with Phase(docs.sparkSession) as phase:
+        _, _, table, blocks = _build(row.select("id", "norm"), digest)
+        phase.keep(table)
     marked = may_hit(row.withColumn("digest", digest(F.col("norm"))), table, blocks)
     alone = marked.where(~F.col("may_hit")).select("row.*")
     first = F.min_by("row", F.struct(F.col("id").isNull().alias("no_id"), "id", "at")).alias("row")

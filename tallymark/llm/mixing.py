@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fresh, group_bounds, placed_rows, ranked, save, sorted_groups, text_or_empty
+from .common import BLANKS, Phase, fresh, group_bounds, placed_rows, ranked, save, sorted_groups, text_or_empty
 
 BLOCK = 1024
 #: Documents that a block holds back for the next round, and for the landing.
@@ -175,11 +175,12 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """
     rows, row = placed_rows(docs)
     of, usual, own, n = (fresh(rows, c) for c in ("_of", "_usual", "_own", "_n"))
-    drawn = save(_mix(rows, row, doc_id=doc_id, text=text, source=source, **how).select("source", "copies", "at"), "drawn")
-    most = drawn.groupBy("source", "copies").count().groupBy("source").agg(F.max_by("copies", F.struct("count", "copies")).alias(usual))
-    most = save(most.withColumnRenamed("source", of), "usual")
-    odd = drawn.join(most, F.col("source").eqNullSafe(F.col(of))).where(F.col("copies") != F.col(usual))
-    odd = save(odd.select(F.col("at").alias(row), F.col("copies").cast("int").alias(own)), "odd")
+    with Phase(docs.sparkSession) as phase:
+        drawn = save(_mix(rows, row, doc_id=doc_id, text=text, source=source, **how).select("source", "copies", "at"), "drawn")
+        most = drawn.groupBy("source", "copies").count().groupBy("source").agg(F.max_by("copies", F.struct("count", "copies")).alias(usual))
+        most = phase.keep(save(most.withColumnRenamed("source", of), "usual"))
+        odd = drawn.join(most, F.col("source").eqNullSafe(F.col(of))).where(F.col("copies") != F.col(usual))
+        odd = phase.keep(save(odd.select(F.col("at").alias(row), F.col("copies").cast("int").alias(own)), "odd"))
     odd = F.broadcast(odd) if odd.count() <= MAX_BROADCAST else odd.hint("merge")
     taken = rows.withColumn(n, F.col(source).cast("string")).join(most, F.col(n).eqNullSafe(F.col(of)))
     taken = taken.join(odd, row, "left").withColumn(n, F.coalesce(own, usual).cast("int")).where(F.col(n) > 0)

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import batches, beside_groups, group_bounds, placed_rows, save, sorted_groups, text_or_empty
+from .common import Phase, batches, beside_groups, group_bounds, placed_rows, save, sorted_groups, text_or_empty
 from .components import components
 
 SHINGLE, LEAST = 5, 0.8
 #: Two texts with a similarity of 0.8 have no band in common with chance (1 - 0.8 ** ROWS) ** BANDS = 7e-5.
 BANDS, ROWS, SEED = 24, 5, 11
 #: Different shingles of a part, and of a block of open documents, about.
-PART = 1 << 21
+PART = 1 << 18
 _RANDOM = np.random.default_rng(SEED)
 _TIMES, _PLUS = (_RANDOM.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)), _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
@@ -162,12 +162,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     kind = docs.schema[doc_id].dataType.simpleString()
     rows, row = placed_rows(docs)
     plain = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("id"), text_or_empty(F.col(text)).cast("binary").alias("text"))
-    prints = save(plain.drop("id").mapInArrow(_sketch, "row long, fp long, size long, bands array<long>"), "sketches")
-    member = components(candidates(prints)).withColumnRenamed("node", "row").join(prints.select("row", "size"), "row")
-    found = plain.join(member, "row").select("row", "id", "root", "size", "text").mapInArrow(_sets, f"row long, id {kind}, root long, size long, found binary")
-    found = save(found, "sets")
-    linked_rows = components(exact_links(found.drop("id"))).withColumnRenamed("node", "row")
-    named = found.select("row", "id").join(linked_rows, "row")
-    stays = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")).select("first.row")
-    gone = save(linked_rows.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", row), "gone")
+    with Phase(docs.sparkSession) as phase:
+        prints = save(plain.drop("id").mapInArrow(_sketch, "row long, fp long, size long, bands array<long>"), "sketches")
+        member = components(candidates(prints)).withColumnRenamed("node", "row").join(prints.select("row", "size"), "row")
+        found = plain.join(member, "row").select("row", "id", "root", "size", "text").mapInArrow(_sets, f"row long, id {kind}, root long, size long, found binary")
+        found = save(found, "sets")
+        linked_rows = components(exact_links(found.drop("id"))).withColumnRenamed("node", "row")
+        named = found.select("row", "id").join(linked_rows, "row")
+        stays = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")).select("first.row")
+        gone = phase.keep(save(linked_rows.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", row), "gone"))
     return rows.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, fold, fresh, save, text_or_empty
+from .common import Phase, batches, fold, fresh, save, text_or_empty
 
 #: At most so many labelled rows of each class are the voters; with RANK floats each they take MAX_VOTERS * 2 * RANK * 4 bytes, a megabyte.
 MAX_VOTERS, RANK, NEIGHBOURS, POWER = 2048, 32, 15, 4
@@ -220,7 +220,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     last place all vote. Rows with a null id are in the fold of the empty id; null labels are no labels.
     An empty table gives no rows. Other columns of ``docs`` are not read, whatever their names.
     """
-    voters = fit(docs, labels, doc_id, text, label, folds, held)
+    with Phase(docs.sparkSession):
+        voters = fit(docs, labels, doc_id, text, label, folds, held)
     narrow = docs.select(docs[doc_id].alias("id"), (fold(docs[doc_id], folds) == held).alias("held_out"), docs[text].alias("text"))
     return _scored(narrow, voters, "text", "score").select("id", "held_out", "score")
 
@@ -232,4 +233,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, least: float, doc_id: str =
     all rows stay without any voter, repeated rows stay or go together, and an empty table gives an empty one.
     """
     name = fresh(docs, "_score")
-    return _scored(docs, fit(docs, labels, doc_id, text, label, folds, held), text, name).where(F.col(name) >= least).drop(name)
+    with Phase(docs.sparkSession):
+        voters = fit(docs, labels, doc_id, text, label, folds, held)
+    return _scored(docs, voters, text, name).where(F.col(name) >= least).drop(name)

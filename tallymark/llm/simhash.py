@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, beside_groups, group_bounds, save, sorted_groups, text_or_empty
+from .common import Phase, batches, beside_groups, group_bounds, save, sorted_groups, text_or_empty
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -174,10 +174,11 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     kind = docs.schema[doc_id].dataType.simpleString()
     prints = docs.select(docs[doc_id].alias("id"), text_or_empty(docs[text]).cast("binary").alias("text")).mapInArrow(_fingerprints, f"id {kind}, fp long")
     prints = save(prints, "prints")
-    distinct = save(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = components(links(distinct.select("fp"), limit))
-    member = save(distinct.drop("n").join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least"), "member")
-    least = save(member.groupBy("root").agg(F.min("least").alias("of"), F.count(F.lit(1)).alias("n")), "least")
-    linked = beside_groups(member.drop("least"), least, "root").select("fp", "of")
-    named = save(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("of", "least").alias("component_id")), "named")
+    with Phase(docs.sparkSession) as phase:
+        distinct = save(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+        roots = components(links(distinct.select("fp"), limit))
+        member = save(distinct.drop("n").join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least"), "member")
+        least = save(member.groupBy("root").agg(F.min("least").alias("of"), F.count(F.lit(1)).alias("n")), "least")
+        linked = beside_groups(member.drop("least"), least, "root").select("fp", "of")
+        named = phase.keep(save(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("of", "least").alias("component_id")), "named"))
     return beside_groups(prints, named, "fp").select("id", "fp", "component_id")

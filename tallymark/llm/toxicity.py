@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fold, save, text_or_empty
+from .common import Phase, batches, fold, save, text_or_empty
 
 #: Bounds of the training sample, all of it rows with a label, and of the model.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 512
@@ -235,7 +235,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     the fold of the empty id. Without confirmed examples in the training folds every score is 0. An empty table
     gives no rows. Other columns of ``docs`` are not read, whatever their names.
     """
-    scorer = fit(docs, labels, doc_id, text, label, folds, held)
+    with Phase(docs.sparkSession):
+        scorer = fit(docs, labels, doc_id, text, label, folds, held)
     kind = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(docs[doc_id].alias("id"), (fold(docs[doc_id], folds) == held).alias("held_out"), text_or_empty(docs[text]).alias("text"))
     if scorer is None:
