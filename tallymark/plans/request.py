@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,8 +117,8 @@ def resolve(spark: SparkSession, request: Request) -> str:
     return detect.resolve_format([detect.detect(*head(spark, p)) for p in (request.source, request.target)], "auto")
 
 
-def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt: str, delimiter: str | None, lines: Sequence[str] | None = None) -> DataFrame:
-    """``lines``: the first ones of a delimited input, if they have been read."""
+def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt: str, delimiter: str | None, lines: Sequence[str] | None = None, traits: Row | None = None) -> DataFrame:
+    """``lines``: the first ones of a delimited input, ``traits``: what a pass over its text told, if it has been read."""
     if fmt == "csv":
         lines = lines if lines is not None else readers.first_lines(spark, path, skip=request.header_leading_rows)
         if not lines:
@@ -128,7 +128,7 @@ def read_side(spark: SparkSession, request: Request, path: str | list[str], fmt:
         header = request.has_header if request.has_header is not None else sniff.has_header(cells)
         names = [c or f"column_{i + 1}" for i, c in enumerate(cells)] if header else readers.synthetic_names(len(cells))
         broken = lines[0].count(quote) % 2
-        df = readers.read_delimited(spark, path, delimiter, header, None if broken else names, request.header_leading_rows, skip_end=request.footer_trailing_rows, quote=quote)
+        df = readers.read_delimited(spark, path, delimiter, header, None if broken else names, request.header_leading_rows, multi_line=traits.breaks if traits else None, skip_end=request.footer_trailing_rows, quote=quote)
     else:
         df = readers.as_text(readers.read_columnar(spark, path, fmt))
     keys = key_columns(request.uid)
@@ -153,11 +153,6 @@ def complex_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
     return [c for i, c in enumerate(text) if seen[i] and not df.where(_bracketed(col(c))).where(looks_structured(col(c))).isEmpty()]
 
 
-def _has_brackets(spark: SparkSession, *paths: str | list[str]) -> bool:
-    """Whether any line of text inputs has an opening bracket; reading stops at the first."""
-    return any(not spark.read.text(p).where(F.col("value").rlike(r"[\[{(]")).isEmpty() for p in paths)
-
-
 def validate(spark: SparkSession, request: Request) -> Result:
     """Run a request. The mismatch relation is written once; counts, samples and exports come from it."""
     began = time.time()
@@ -184,7 +179,9 @@ def _tables(spark: SparkSession, request: Request, fmt: str) -> Result:
     if fmt == "csv" and delimiter is None:
         filled = [x for x in lines if x]
         delimiter = sniff.shared_delimiter(*lines) if len(filled) == 2 and min(map(len, filled)) > 1 else next((sniff.detect_delimiter(x) for x in filled if len(x) > 1), ",")
-    s, t = (read_side(spark, request, p, fmt, delimiter, x) for p, x in zip((request.source, request.target), lines, strict=True))
+    sides = list(zip((request.source, request.target), lines, strict=True))
+    traits = [readers.text_traits(spark, p, sniff.quote_character(x, delimiter)) if fmt == "csv" and x else None for p, x in sides]
+    s, t = (read_side(spark, request, p, fmt, delimiter, x, y) for (p, x), y in zip(sides, traits, strict=True))
     if not s.columns or not t.columns:  # an empty side has the other's columns and no rows
         s, t = (x if x.columns else spark.createDataFrame([], y.schema) for x, y in ((s, t), (t, s)))
     empty = lambda: spark.createDataFrame([], ", ".join(f"{c} string" for c in report.MISMATCH_COLUMNS))
@@ -206,13 +203,15 @@ def _tables(spark: SparkSession, request: Request, fmt: str) -> Result:
         return _finish(rows, c["source_rows"], c["target_rows"], issues)
     shared = [c for c in s.columns if c in t.columns]
     nested = []
-    if fmt != "csv" or _has_brackets(spark, request.source, request.target):
+    if fmt != "csv" or any(x.brackets for x in traits if x):
         nested = list(dict.fromkeys([*complex_columns(s, shared), *complex_columns(t, shared)]))
     fields = resolve_fields(request.column_mappings, keys, shared, nested)
     # rows are counted on their way into the join, and the summary on its way out; a plan over no rows has no such way
-    some = [not x.isEmpty() for x in (s, t)]
+    left_out = 1 + request.header_leading_rows + request.footer_trailing_rows
+    plain = request.uid_gte is None
+    some = [y.lines > left_out or not x.isEmpty() if y and plain else not x.isEmpty() for x, y in zip((s, t), traits, strict=True)]
     for x, path, rows_there in ((s, request.source, some[0]), (t, request.target, some[1])):
-        if not rows_there and fmt == "csv" and request.uid_gte is None:
+        if not rows_there and fmt == "csv" and plain:
             compare.parsed_enough(0, _size(spark, path))
     if not all(some):
         r = Reconciliation(s, t, keys, fields, on_duplicate=request.on_duplicate)

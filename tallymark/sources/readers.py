@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,15 @@ def has_quoted_breaks(spark: SparkSession, path: str | list[str], quote: str = '
     return not spark.read.text(path).where(value.contains(quote) & (quotes % 2 == 1)).isEmpty()
 
 
+def text_traits(spark: SparkSession, path: str | list[str], quote: str = '"') -> Row:
+    """breaks (a quote stays open at the end of some line), brackets (some line has an opening bracket), lines (with text), in one pass."""
+    value = F.col("value")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit(quote), F.lit("")))) % 2 == 1
+    any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
+    rows = spark.read.text(path).select(odd.alias("odd"), value.rlike(r"[\[{(]").alias("bracket"), (F.trim("value") != "").alias("text"))
+    return rows.agg(any_("odd").alias("breaks"), any_("bracket").alias("brackets"), F.count_if("text").alias("lines")).first()
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """value, line: a file's physical lines with their numbers from 1, however many splits it has.
 
