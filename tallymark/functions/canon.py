@@ -178,11 +178,10 @@ def sql_literals(call: str, name: str = "regexp_replace") -> list[str]:
     """The quoted arguments of a call of ``name`` in a SQL text, as they are written; none if there is no such call."""
     at = call.lower().find(name)
     rest = call[at + len(name) :].lstrip() if at >= 0 else ""
-    found, begin, i = [], None, 1
-    while rest.startswith("(") and i < len(rest):
+    found, begin, depth, i = [], None, 1, 1
+    while rest.startswith("(") and depth and i < len(rest):
         if begin is None:
-            if rest[i] == ")":
-                break
+            depth += (rest[i] == "(") - (rest[i] == ")")
             begin = i + 1 if rest[i] == "'" else None
         elif rest[i] == "\\":
             i += 1

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import scratch_path, write_bytes
+
 # File name endings by format.
 SUFFIXES = {
     ".csv": "csv", ".tsv": "csv", ".psv": "csv", ".parquet": "parquet", ".pq": "parquet", ".orc": "orc", ".avro": "avro",
@@ -92,6 +94,11 @@ def read_delimited(
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 
 
+def read_delimited_bytes(spark: SparkSession, content: bytes, **how: object) -> DataFrame:
+    """Delimited text that the driver holds, such as an upload or an open file's content: it is put where executors can read it."""
+    return read_delimited(spark, write_bytes(spark, scratch_path(spark, "upload.csv"), content), **how)
+
+
 def has_quoted_breaks(spark: SparkSession, path: str | list[str], quote: str = '"') -> bool:
     """Whether a quote stays open at the end of some line; reading stops at the first."""
     value = F.col("value")

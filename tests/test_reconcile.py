@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.mapping import Field, SideRule
 from tallymark.operators import compare, report
 from tallymark.operators.reconcile import Reconciliation, multiset_difference, numbered, positional
+from tallymark.sources.scratch import Phase, save
 
 
 def frame(spark, columns, *rows):
@@ -182,3 +183,44 @@ def test_plan_has_one_exchange_a_side(pair):
     plan = Reconciliation(*pair, ["id"]).mismatches()._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_repeated_keys_in_pairs_do_not_multiply(spark):
+    """Hot and null keys: the first meets the first; what is left over is missing or extra."""
+    rows = lambda n, v: spark.createDataFrame([(None, f"{v}{i % 3}") for i in range(n)] + [("k", "x")], "id string, v string")
+    r = Reconciliation(rows(300, "a"), rows(310, "a"), ["id"], on_duplicate="pair", order=["v"])
+    c = r.status_counts().first()
+    assert c["missing"] == 0 and c["extra"] == 10 and c["matching"] + c["changed"] == 301
+
+
+def test_last_rows_share_the_joins_exchange(spark):
+    """Rows are dealt by key once a side, for the last row and for the join."""
+    df = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "id string, v string").repartition(3)
+    r = Reconciliation(df, df.withColumn("v", F.lit("2")), ["id"], on_duplicate="last")
+    assert tuple(r.status_counts().first()) == (1, 1, 0, 0)
+    plan = r.joined()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_files_by_content(spark, tmp_path):
+    for side, data in (("s", b"one"), ("t", b"one"), ("u", b"two"), ("v", b"three")):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / f"{side}.txt").write_bytes(data)
+    same = [compare.identical_files(spark, f"{tmp_path}/s", f"{tmp_path}/{x}") for x in "tuv"]
+    assert same == [True, False, False]
+
+
+def test_tables_of_a_phase_are_deleted(spark):
+    from pathlib import Path
+
+    with Phase(spark) as outer:
+        with Phase(spark) as phase:
+            kept, gone = phase.keep(save(spark.range(3), "kept")), save(spark.range(4), "gone")
+            assert gone.count() == 4
+        path = lambda df: Path(df._scratch_path.removeprefix("file://").removeprefix("file:"))
+        assert path(kept).exists() and not path(gone).exists() and kept.count() == 3
+        with pytest.raises(ZeroDivisionError), Phase(spark):
+            broken = save(spark.range(1), "broken")
+            1 / 0  # noqa: B018
+        assert not path(broken).exists()
+    assert not path(kept).exists() and outer.kept == set() and not Phase.stack()

@@ -60,6 +60,7 @@ def test_headerless_skipped_and_compressed(spark, tmp_path):
     (tmp_path / "z.csv.bz2").write_bytes(bz2.compress(b"id,v\n1,a\n"))
     assert [readers.read_delimited(spark, str(tmp_path / n)).count() for n in ("z.csv.gz", "z.csv.bz2")] == [1, 1]
     assert readers.read_delimited(spark, write(tmp_path / "d.csv", "a,a,\n1,2,3\n")).columns == ["a", "a_2", "column_3"]
+    assert [tuple(r) for r in readers.read_delimited_bytes(spark, "id;v\n1;é\n".encode(), delimiter=";").collect()] == [("1", "é")]
 
 
 def test_split_line_and_tokens():
@@ -70,7 +71,11 @@ def test_split_line_and_tokens():
         sniff.detect_delimiter(["nothing here", "to split"])
 
 
-@pytest.mark.parametrize(("cells", "want"), [(["id", "name"], True), (["1", "x"], False), (["ID001", "x"], False), (["R01", "x"], False), (["a1", "SKU-5", "3"], False), (["Customer Name", "City"], True), ([], True)])
+def test_quote_characters():
+    assert sniff.quote_character(["a,b", "'x, y',1", "'z, w',2"], ",") == "'" and sniff.quote_character(["a,b", '"x, y",1', "it's,2"], ",") == '"'
+
+
+@pytest.mark.parametrize(("cells", "want"), [(["id", "name"], True), (["customerId", "2019", "2020"], True), (["order_key", "SKU-1"], True), (["2026-01-02", "x"], False), (["x", "1.5", "y", "z"], True), (["name", "12", "3"], True), (["1", "x"], False), (["ID001", "x"], False), (["R01", "x"], False), (["a1", "SKU-5", "3"], False), (["Customer Name", "City"], True), ([], True)])
 def test_headers(cells, want):
     assert sniff.has_header(cells) is want
 
