@@ -122,7 +122,11 @@ def _slots(base: DataFrame) -> DataFrame:
 def document_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, size, crc, shard, slot`` of documents: size is the UTF-8 bytes of the text (null: none) plus one.
 
-    The dimensions are the length, the language, the source and the id; a missing column is left out.
+    The dimensions are the length, the language, the source and the id; a missing column is left out. Null
+    coordinates, null ids too, come first in their dimension. Rows that tie in a coordinate are ordered by a hash of
+    id and text, repeated rows by one of their place, so they may be in different shards; each has a slot of its own.
+    A text that is larger than a shard leaves others empty. An empty table gives no rows. Other columns of
+    ``docs`` are not read, whatever their names.
     """
     t = text_or_empty(docs[text])
     have = {c: docs[c] for c in ("n_chars", "lang", "source") if c in docs.columns and c not in (doc_id, text)}
