@@ -7,6 +7,7 @@ code generation and never raises on bad input (only try_ parsers are used).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,6 +64,11 @@ def _one_blank(t: Column) -> Column:
     return F.when(t.rlike(f"[{SPACES}]{{2}}|[^\\S ]"), F.regexp_replace(t, f"[{SPACES}]+", " ")).otherwise(t)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where expressions are interpreted."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _maybe_date(t: Column) -> Column:
     """A cheap test that every date passes."""
     return F.length(t).between(8, 17) & t.rlike(r"\d$|\d{4}[-/]")
@@ -70,9 +76,8 @@ def _maybe_date(t: Column) -> Column:
 
 def date_candidates(c: Column, *formats: str) -> Column:
     """All dates that a cell can mean, as a set; empty for others."""
-    t = _one_blank(strip(c))
-    empty = F.array().cast("array<date>")
-    found = F.coalesce(F.when(_maybe_date(t), _readings(t)), empty)
+    t, empty = strip(c), F.array().cast("array<date>")
+    found = F.coalesce(_bound(_one_blank(t), lambda x: F.when(_maybe_date(x), _readings(x))), empty)
     if formats:
         found = F.concat(found, F.array(*[F.try_to_date(t, f) for f in formats]))
     return F.array_distinct(F.array_compact(found))
@@ -80,8 +85,7 @@ def date_candidates(c: Column, *formats: str) -> Column:
 
 def first_date(c: Column) -> Column:
     """The earliest date that a cell can mean, ISO; null for others."""
-    t = _one_blank(strip(c))
-    return F.when(_maybe_date(t), F.date_format(F.array_min(_readings(t)), "yyyy-MM-dd"))
+    return _bound(_one_blank(strip(c)), lambda t: F.when(_maybe_date(t), F.date_format(F.array_min(_readings(t)), "yyyy-MM-dd")))
 
 
 def auto(c: Column) -> Column:
