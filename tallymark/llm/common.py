@@ -131,6 +131,15 @@ def group_bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(change))
 
 
+#: Narrow tables up to this many rows, each of a few numbers, go to the texts by broadcast; larger ones by a merge join.
+MAX_BROADCAST = 1 << 20
+
+
+def brought(df: DataFrame) -> DataFrame:
+    """A saved narrow table, hinted by its number of rows for a join with whole texts."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df.hint("merge")
+
+
 #: Keys with more rows than this, or than their share of all rows would be if there were HOT_KEYS of them, are hot: at most HOT_KEYS keys.
 HOT, HOT_KEYS = 10_000, 1 << 16
 
@@ -158,4 +167,4 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return s.withColumn("_range", F.shiftright("_at", 33)).join(parts, "_range").withColumn("_rank", F.col("_before") + low).drop("_range", "_before", "_at")
 
 
-__all__ = ["BLANKS", "Phase", "batches", "beside_groups", "blocks", "fold", "fresh", "group_bounds", "placed_rows", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty"]
+__all__ = ["BLANKS", "Phase", "batches", "beside_groups", "blocks", "brought", "fold", "fresh", "group_bounds", "placed_rows", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty"]

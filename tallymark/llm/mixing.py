@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Phase, fresh, group_bounds, placed_rows, ranked, save, sorted_groups, text_or_empty
+from .common import BLANKS, Phase, brought, fresh, group_bounds, placed_rows, ranked, save, sorted_groups, text_or_empty
 
 BLOCK = 1024
 #: Documents that a block holds back for the next round, and for the landing.
@@ -117,10 +117,6 @@ def _fly(land: bool, number: int):
     return run
 
 
-#: At most so many rows say how often a row is taken by broadcast; more are brought to their texts by a merge join.
-MAX_BROADCAST = 1 << 20
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per input row: ``id, source, size, source_size, target, copies``; the mix takes a document ``copies`` times.
 
@@ -171,7 +167,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     Rows are told apart by their place, so repeated rows, rows without an id or with one in common are
     drawn each by itself, and nulls, empty and long texts, ties and an empty table are as in ``mix``. How often
     a row is taken is decided on narrow rows. What most rows of its source have is known from a row a source, and
-    only the other rows' numbers go to the texts: by broadcast up to MAX_BROADCAST rows, else by a merge join.
+    only the other rows' numbers go to the texts: by broadcast up to ``common.MAX_BROADCAST`` rows, else by a merge join.
     """
     rows, row = placed_rows(docs)
     of, usual, own, n = (fresh(rows, c) for c in ("_of", "_usual", "_own", "_n"))
@@ -181,7 +177,6 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         most = phase.keep(save(most.withColumnRenamed("source", of), "usual"))
         odd = drawn.join(most, F.col("source").eqNullSafe(F.col(of))).where(F.col("copies") != F.col(usual))
         odd = phase.keep(save(odd.select(F.col("at").alias(row), F.col("copies").cast("int").alias(own)), "odd"))
-    odd = F.broadcast(odd) if odd.count() <= MAX_BROADCAST else odd.hint("merge")
     taken = rows.withColumn(n, F.col(source).cast("string")).join(most, F.col(n).eqNullSafe(F.col(of)))
-    taken = taken.join(odd, row, "left").withColumn(n, F.coalesce(own, usual).cast("int")).where(F.col(n) > 0)
+    taken = taken.join(brought(odd), row, "left").withColumn(n, F.coalesce(own, usual).cast("int")).where(F.col(n) > 0)
     return taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[f"`{c}`" for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Phase, batches, beside_groups, group_bounds, placed_rows, save, sorted_groups, text_or_empty
+from .common import Phase, batches, beside_groups, brought, group_bounds, placed_rows, save, sorted_groups, text_or_empty
 from .components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -165,10 +165,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     with Phase(docs.sparkSession) as phase:
         prints = save(plain.drop("id").mapInArrow(_sketch, "row long, fp long, size long, bands array<long>"), "sketches")
         member = components(candidates(prints)).withColumnRenamed("node", "row").join(prints.select("row", "size"), "row")
+        member = brought(save(member, "member"))  # only texts with a candidate are shuffled
         found = plain.join(member, "row").select("row", "id", "root", "size", "text").mapInArrow(_sets, f"row long, id {kind}, root long, size long, found binary")
         found = save(found, "sets")
         linked_rows = components(exact_links(found.drop("id"))).withColumnRenamed("node", "row")
         named = found.select("row", "id").join(linked_rows, "row")
         stays = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")).select("first.row")
         gone = phase.keep(save(linked_rows.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", row), "gone"))
-    return rows.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return rows.join(brought(gone), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallymark.llm import components, mixing, neighbours, packing, quality_votes, queries, secret_scan, simhash, toxicity
+from tallymark.llm import common, components, mixing, neighbours, packing, quality_votes, queries, secret_scan, simhash, toxicity
 
 from .corpus import documents, empty, rows, texts
 
@@ -91,7 +91,7 @@ def test_mixed_repeats_rows(spark):
 @pytest.mark.parametrize("most", [0, 1 << 20])
 def test_mixed_decides_each_row_by_itself(spark, monkeypatch, tmp_path, most):
     """Ids that repeat four times, or are null, and a map column: each source's words come within a document of its target, by either way of joining."""
-    monkeypatch.setattr(mixing, "MAX_BROADCAST", most)
+    monkeypatch.setattr(common, "MAX_BROADCAST", most)
     rng = random.Random(2)
     rows = [(i % 100 if i % 9 else None, " ".join(["w"] * rng.randint(1, 40)), f"s{i % 3}", {"k": i}, i) for i in range(400)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, _row map<string,int>, _usual long").write.parquet(str(tmp_path / "docs"))
