@@ -2,13 +2,13 @@
 
 Documents with a key are joined first (a full-outer join of the raw texts); pairs whose texts
 are equal, or equal as variants, never reach Python. The recursive comparison of the others
-has no built-in expression and runs Arrow-batched.
+has no built-in expression and runs Arrow-batched; a worker holds one pair, and rows of a bounded size.
 """
 
 from __future__ import annotations
 
 import json
-from collections import defaultdict, deque
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -21,6 +21,8 @@ from .reconcile import EXTRA, MISMATCH_COLUMNS, MISSING, VALUE, last_by_key
 
 DOCUMENT = "document"
 SCHEMA = ", ".join(f"{c} string" for c in MISMATCH_COLUMNS)
+#: Characters of the rows that leave a worker at once, besides the last row.
+BATCH = 1 << 22
 
 
 def path_text(path: Sequence[str | int]) -> str:
@@ -46,8 +48,6 @@ def differences(source: object, target: object, ordered: bool) -> Iterator[tuple
     todo: list[tuple] = [([], source, target, None, None)]
     while todo:
         path, s, t, sp, tp = todo.pop()
-        if signature(s, ordered) == signature(t, ordered):
-            continue
         if isinstance(s, dict) and isinstance(t, dict):
             names = [*s, *(k for k in t if k not in s)]
             later = []
@@ -64,46 +64,66 @@ def differences(source: object, target: object, ordered: bool) -> Iterator[tuple
             todo += [([*path, i], s[i], t[i], s, t) for i in reversed(range(both))]
         elif isinstance(s, list) and isinstance(t, list):
             # elements of one signature are interchangeable: they are paired off in order, the rest has no partner
-            free: dict[str, deque[int]] = defaultdict(deque)
-            for i, x in enumerate(t):
-                free[signature(x)].append(i)
+            signs = [signature(x) for x in t]
+            free = Counter(signs)
             for i, x in enumerate(s):
-                pool = free[signature(x)]
-                if pool:
-                    pool.popleft()
+                if free[sign := signature(x)]:
+                    free[sign] -= 1
                 else:
                     yield [*path, i], MISSING, x, Absent, s, t
-            for i in sorted(i for pool in free.values() for i in pool):
+            extra = []
+            for i in reversed(range(len(t))):
+                if free[signs[i]]:
+                    free[signs[i]] -= 1
+                    extra.append(i)
+            for i in reversed(extra):
                 yield [*path, i], EXTRA, Absent, t[i], s, t
-        else:
+        elif signature(s, ordered) != signature(t, ordered):
             yield path, VALUE, s, t, sp, tp
 
 
-def diff_rows(uid: str, source: str, target: str, ordered: bool, mapping: Sequence[tuple[str, str]] = ()) -> Iterator[tuple]:
-    """Mismatch rows of one pair of JSON texts; ``mapping`` keeps and renames mapped top-level keys."""
+def diff_rows(uid: str, source: str, target: str, ordered: bool, mapping: Sequence[tuple[str, str]] = (), details: bool = True) -> Iterator[tuple]:
+    """Mismatch rows of one pair of JSON texts; ``mapping`` keeps and renames mapped top-level keys.
+
+    ``row_detail`` names the paths and, with ``details``, holds the parent on both sides: a list of n changed elements gives n copies of it.
+    """
     s, t = json.loads(source), json.loads(target)
     if mapping and isinstance(s, dict) and isinstance(t, dict):
         s = {b: s[a] for a, b in mapping if a in s}
         t = {b: t[b] for _, b in mapping if b in t}
+    last: dict[str, tuple] = {}
     for path, kind, a, b, sp, tp in differences(s, t, ordered):
-        detail = {"json_path": path_text(path), "parent_path": path_text(path[:-1]), "mismatch_type": kind}
-        for side, parent in (("source", sp), ("target", tp)):
-            if parent is not None:
-                detail[f"{side}_parent"] = parent
-                detail[f"{side}_sibling_keys"] = list(parent) if isinstance(parent, dict) else list(range(len(parent)))
-        yield uid, kind, path_text(path), leaf_text(a), leaf_text(b), json.dumps(detail, ensure_ascii=False)
-
-
-def diff_json(pairs: DataFrame, ordered: bool = False, mapping: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """pairs: uid, source, target (JSON texts, both there). The long-form relation."""
+        detail = json.dumps({"json_path": path_text(path), "parent_path": path_text(path[:-1]), "mismatch_type": kind}, ensure_ascii=False)
+        if details:
+            for side, parent in (("source", sp), ("target", tp)):
+                if parent is not None:
+                    # elements of one list follow each other: their parent becomes text once
+                    if side not in last or last[side][0] is not parent:
+                        keys = list(parent) if isinstance(parent, dict) else list(range(len(parent)))
+                        last[side] = parent, json.dumps({f"{side}_parent": parent, f"{side}_sibling_keys": keys}, ensure_ascii=False)[1:]
+                    detail = f"{detail[:-1]}, {last[side][1]}"
+        yield uid, kind, path_text(path), leaf_text(a), leaf_text(b), detail
+
+
+def diff_json(pairs: DataFrame, ordered: bool = False, mapping: Sequence[tuple[str, str]] = (), details: bool = True) -> DataFrame:
+    """pairs: uid, source, target (JSON texts, both there). The long-form relation; without ``details``, ``row_detail`` has no parents."""
     mapping = list(mapping)
     unlike = pairs.where((F.col("source") != F.col("target")) & (F.coalesce(F.to_json(F.try_parse_json("source")) != F.to_json(F.try_parse_json("target")), F.lit(True)) | F.lit(ordered)))
 
-    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            out = [r for u, s, t in zip(*[batch.column(c).to_pylist() for c in ("uid", "source", "target")], strict=True) for r in diff_rows(u, s, t, ordered, mapping)]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], list(MISMATCH_COLUMNS))
+        for batch in batches:
+            out, size = [], 0
+            for i in range(batch.num_rows):
+                u, s, t = (batch.column(c)[i].as_py() for c in ("uid", "source", "target"))
+                for row in diff_rows(u, s, t, ordered, mapping, details):
+                    out.append(row)
+                    size += sum(len(x) for x in row if x)
+                    if size >= BATCH:
+                        yield made(out)
+                        out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], list(MISMATCH_COLUMNS))
+                yield made(out)
 
     return unlike.select("uid", "source", "target").mapInArrow(run, SCHEMA)
 

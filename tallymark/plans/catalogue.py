@@ -607,7 +607,7 @@ def _nested(spark: SparkSession, d: str, change: str) -> DataFrame:
 
 def _deep(spark: SparkSession, d: str, ordered: bool) -> DataFrame:
     s, t = _nested(spark, d, "event_id"), _nested(spark, d, "CASE WHEN event_id % 40 = 0 THEN -event_id ELSE event_id END")
-    return json_diff.diff_json(s.withColumnRenamed("json", "source").join(t.withColumnRenamed("json", "target"), "uid"), ordered)
+    return json_diff.diff_json(s.withColumnRenamed("json", "source").join(t.withColumnRenamed("json", "target"), "uid"), ordered, details=ordered)
 
 
 _paths = lambda: [F.get_json_object("row_detail", f"$.{c}").alias(c) for c in ("json_path", "parent_path")]

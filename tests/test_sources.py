@@ -7,6 +7,7 @@ import tarfile
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from tallymark.operators import compare, json_diff
@@ -304,6 +305,33 @@ def test_paths_and_details(spark):
     assert list(json_diff.diff_rows("u", '{"p": 1, "q": 2}', '{"z": 1}', False, [("p", "z")])) == []
 
 
+class Pairs:
+    """In place of a DataFrame: gives the function that its batches would go through."""
+
+    where = select = lambda self, *_: self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_long_lists_leave_in_small_batches(spark):
+    text = lambda n: json.dumps({"items": list(range(10000, 10000 + n))})
+    pairs = pa.RecordBatch.from_pydict({"uid": ["a", "b"], "source": [text(5000), text(1)], "target": [text(4700), text(2)]})
+    batches = list(json_diff.diff_json(Pairs())(iter([pairs])))
+    assert sum(b.num_rows for b in batches) == 301 and max(b.nbytes for b in batches) < 1 << 23
+    detail = json.loads(batches[0].column("row_detail")[0].as_py())
+    assert len(detail["source_parent"]) == len(detail["source_sibling_keys"]) == 5000 and len(detail["target_parent"]) == 4700
+    bare = list(json_diff.diff_json(Pairs(), details=False)(iter([pairs])))
+    assert [b.num_rows for b in bare] == [301]
+    assert json.loads(bare[0].column("row_detail")[0].as_py()) == {"json_path": "items[4700]", "parent_path": "items", "mismatch_type": "missing_in_target"}
+
+
+def test_unordered_lists_pair_in_order():
+    s, t = ["a", "b", "a", "a", 1, "c"], ["d", "a", "c", "b", "b", "a", "d", "b"]
+    got = [(p[-1], k) for p, k, *_ in json_diff.differences(s, t, False)]
+    assert got == [(3, "missing_in_target"), (4, "missing_in_target"), (0, "extra_in_target"), (4, "extra_in_target"), (6, "extra_in_target"), (7, "extra_in_target")]
+
+
 def test_json_lines(spark, tmp_path):
     s = write(tmp_path / "s.ndjson", '{"id": 1, "v": [1,2]}\n\n{"id": 2, "v": 1}\n{"id": 3}\n')
     t = write(tmp_path / "t.ndjson", '{"id": 1, "v": [2,1]}\n{"id": 2, "v": 9}\n{"id": 4}\n')
