@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from json.encoder import encode_basestring as quoted
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +26,12 @@ SCHEMA = ", ".join(f"{c} string" for c in MISMATCH_COLUMNS)
 BATCH = 1 << 22
 
 
+def _joined(path: Sequence[str | int]) -> str:
+    return "".join([f"[{p}]" if isinstance(p, int) else f".{p}" for p in path])
+
+
 def path_text(path: Sequence[str | int]) -> str:
-    out = "".join(f"[{p}]" if isinstance(p, int) else f".{p}" for p in path)
-    return out.removeprefix(".") or "$"
+    return _joined(path).removeprefix(".") or "$"
 
 
 class Absent:
@@ -43,25 +47,33 @@ def leaf_text(v: object) -> str | None:
     return json.dumps(v, ensure_ascii=False, sort_keys=True) if isinstance(v, dict | list) else str(v)
 
 
+def _inside(path: list, keys: Iterable[str | int], s: dict | list, t: dict | list) -> Iterator[tuple]:
+    for k in keys:
+        yield [*path, k], s[k], t[k], s, t
+
+
 def differences(source: object, target: object, ordered: bool) -> Iterator[tuple[list, str, object, object, object, object]]:
     """(path, kind, source value, target value, source parent, target parent), depth first; ``Absent`` is the value of a side without one."""
-    todo: list[tuple] = [([], source, target, None, None)]
+    todo: list[Iterator[tuple]] = [iter([([], source, target, None, None)])]
     while todo:
-        path, s, t, sp, tp = todo.pop()
+        if (pair := next(todo[-1], None)) is None:
+            todo.pop()
+            continue
+        path, s, t, sp, tp = pair
         if isinstance(s, dict) and isinstance(t, dict):
             names = [*s, *(k for k in t if k not in s)]
-            later = []
+            both = []
             for k in names if ordered else sorted(names, key=str):
                 if k in s and k in t:
-                    later.append(([*path, k], s[k], t[k], s, t))
+                    both.append(k)
                 else:
                     yield [*path, k], MISSING if k in s else EXTRA, s.get(k, Absent), t.get(k, Absent), s, t
-            todo += reversed(later)
+            todo.append(_inside(path, both, s, t))
         elif isinstance(s, list) and isinstance(t, list) and ordered:
-            both = min(len(s), len(t))
-            for i in range(both, max(len(s), len(t))):
+            both = range(min(len(s), len(t)))
+            for i in range(len(both), max(len(s), len(t))):
                 yield [*path, i], MISSING if i < len(s) else EXTRA, s[i] if i < len(s) else Absent, t[i] if i < len(t) else Absent, s, t
-            todo += [([*path, i], s[i], t[i], s, t) for i in reversed(range(both))]
+            todo.append(_inside(path, both, s, t))
         elif isinstance(s, list) and isinstance(t, list):
             # elements of one signature are interchangeable: they are paired off in order, the rest has no partner
             signs = [signature(x) for x in t]
@@ -92,8 +104,12 @@ def diff_rows(uid: str, source: str, target: str, ordered: bool, mapping: Sequen
         s = {b: s[a] for a, b in mapping if a in s}
         t = {b: t[b] for _, b in mapping if b in t}
     last: dict[str, tuple] = {}
+    above = stem = parent_path = None
     for path, kind, a, b, sp, tp in differences(s, t, ordered):
-        detail = json.dumps({"json_path": path_text(path), "parent_path": path_text(path[:-1]), "mismatch_type": kind}, ensure_ascii=False)
+        if (outer := path[:-1]) != above:
+            above, stem, parent_path = outer, _joined(outer), path_text(outer)
+        at = (stem + _joined(path[-1:])).removeprefix(".") or "$"
+        detail = f'{{"json_path": {quoted(at)}, "parent_path": {quoted(parent_path)}, "mismatch_type": "{kind}"}}'
         if details:
             for side, parent in (("source", sp), ("target", tp)):
                 if parent is not None:
@@ -102,7 +118,7 @@ def diff_rows(uid: str, source: str, target: str, ordered: bool, mapping: Sequen
                         keys = list(parent) if isinstance(parent, dict) else list(range(len(parent)))
                         last[side] = parent, json.dumps({f"{side}_parent": parent, f"{side}_sibling_keys": keys}, ensure_ascii=False)[1:]
                     detail = f"{detail[:-1]}, {last[side][1]}"
-        yield uid, kind, path_text(path), leaf_text(a), leaf_text(b), detail
+        yield uid, kind, at, leaf_text(a), leaf_text(b), detail
 
 
 def diff_json(pairs: DataFrame, ordered: bool = False, mapping: Sequence[tuple[str, str]] = (), details: bool = True) -> DataFrame:

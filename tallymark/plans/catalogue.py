@@ -607,10 +607,10 @@ def _nested(spark: SparkSession, d: str, change: str) -> DataFrame:
 
 def _deep(spark: SparkSession, d: str, ordered: bool) -> DataFrame:
     s, t = _nested(spark, d, "event_id"), _nested(spark, d, "CASE WHEN event_id % 40 = 0 THEN -event_id ELSE event_id END")
-    return json_diff.diff_json(s.withColumnRenamed("json", "source").join(t.withColumnRenamed("json", "target"), "uid"), ordered, details=ordered)
+    return json_diff.diff_json(s.withColumnRenamed("json", "source").join(t.withColumnRenamed("json", "target"), "uid"), ordered, details=False)
 
 
-_paths = lambda: [F.get_json_object("row_detail", f"$.{c}").alias(c) for c in ("json_path", "parent_path")]
+_paths = lambda: F.json_tuple("row_detail", "json_path", "parent_path").alias("json_path", "parent_path")
 _items = """WITH e AS (SELECT user_id % 50 AS u, event_id, CASE WHEN event_id % 40 = 0 THEN -event_id ELSE event_id END AS v FROM events),
     i AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY event_id) - 1 AS si, row_number() OVER (PARTITION BY u ORDER BY v) - 1 AS ti FROM e)"""
 _at = "'items[' || CAST({} AS STRING) || ']'"
@@ -619,13 +619,13 @@ _at = "'items[' || CAST({} AS STRING) || ']'"
 @query("json_deep_diff_ordered", f"""{_items} SELECT CAST(a.u AS STRING) AS uid, 'value_mismatch' AS mismatch_type, {_at.format('a.si')} AS column_name, CAST(a.event_id AS STRING) AS source_value, CAST(b.v AS STRING) AS target_value,
     {_at.format('a.si')} AS json_path, 'items' AS parent_path FROM i AS a JOIN i AS b ON a.u = b.u AND a.si = b.ti WHERE a.event_id <> b.v""")
 def _(spark, d):
-    return _deep(spark, d, True).select("uid", "mismatch_type", "column_name", "source_value", "target_value", *_paths())
+    return _deep(spark, d, True).select("uid", "mismatch_type", "column_name", "source_value", "target_value", _paths())
 
 
 @query("json_deep_diff", f"""{_items} SELECT CAST(u AS STRING) AS uid, 'missing_in_target' AS mismatch_type, {_at.format('si')} AS column_name, CAST(event_id AS STRING) AS source_value, NULL AS target_value, {_at.format('si')} AS json_path, 'items' AS parent_path FROM i WHERE event_id <> v
     UNION ALL SELECT CAST(u AS STRING), 'extra_in_target', {_at.format('ti')}, NULL, CAST(v AS STRING), {_at.format('ti')}, 'items' FROM i WHERE event_id <> v""")
 def _(spark, d):
-    return _deep(spark, d, False).select("uid", "mismatch_type", "column_name", "source_value", "target_value", *_paths())
+    return _deep(spark, d, False).select("uid", "mismatch_type", "column_name", "source_value", "target_value", _paths())
 
 
 _LISTS = "SELECT CAST(o_orderkey AS STRING) AS id, '[' || CAST(o_orderkey AS STRING) || ', ' || CAST(o_custkey AS STRING) || ']' AS a, '[' || CASE WHEN o_orderkey % 10 = 0 THEN '0' ELSE CAST(o_custkey AS STRING) END || ',' || CAST(o_orderkey AS STRING) || ']' AS b FROM {orders}"

@@ -37,10 +37,10 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted([tuple(cell(r[c]) for c in sorted(columns)) for r in df.collect()], key=str) == want
 
 
-@pytest.mark.parametrize("name", ["json_deep_diff"])
-def test_long_documents_equal_sql(spark, tmp_path, name):
+@pytest.mark.parametrize(("name", "n"), [("json_deep_diff", 60000), ("json_deep_diff_ordered", 12000)])
+def test_long_documents_equal_sql(spark, tmp_path, name, n):
     con = duckdb.connect()
-    con.sql(f"COPY (SELECT range AS event_id, CASE WHEN range < 60000 THEN 50 ELSE 1 END AS user_id, 'view' AS event_type FROM range(60100)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"COPY (SELECT range AS event_id, CASE WHEN range < {n} THEN 50 ELSE 1 END AS user_id, 'view' AS event_type FROM range({n + 100})) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
     got = [tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(con.execute(catalogue.oracle_sql()[name]).fetchall(), key=str)
