@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +84,15 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system: workers outlive tasks, and else an executor keeps the peaks of all of them."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(rows: Iterable[pa.RecordBatch], limit: int = 2048, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` rows and, but for single larger rows, of at most ``size`` bytes."""
+    """Slices of at most ``limit`` rows and, but for single larger rows, of at most ``size`` bytes. After each of Spark's batches free memory is given back."""
     for batch in rows:
         todo = [batch.slice(at, limit) for at in range(0, batch.num_rows, limit)][::-1]
         while todo:
@@ -93,6 +102,7 @@ def batches(rows: Iterable[pa.RecordBatch], limit: int = 2048, size: int = BATCH
                 todo += [part.slice(half), part.slice(0, half)]
             else:
                 yield part
+        give_back()
 
 
 def sorted_groups(rows: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -118,6 +128,7 @@ def sorted_groups(rows: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[p
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def group_bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,4 +178,4 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return s.withColumn("_range", F.shiftright("_at", 33)).join(parts, "_range").withColumn("_rank", F.col("_before") + low).drop("_range", "_before", "_at")
 
 
-__all__ = ["BLANKS", "Phase", "batches", "beside_groups", "blocks", "brought", "fold", "fresh", "group_bounds", "placed_rows", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty"]
+__all__ = ["BLANKS", "Phase", "batches", "beside_groups", "blocks", "brought", "fold", "fresh", "give_back", "group_bounds", "placed_rows", "ranked", "read_table", "save", "scratch_root", "sorted_groups", "text_or_empty"]

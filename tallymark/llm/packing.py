@@ -87,7 +87,8 @@ def placed(bounds: np.ndarray):
 
     @F.arrow_udf(PLACED)
     def run(texts: pa.Array, ties: pa.Array) -> pa.Array:
-        points = np.array([project(t) for t in texts.to_pylist()], np.int64).reshape(-1, AXES)
+        rows = batches([pa.RecordBatch.from_arrays([texts], ["text"])], 256)
+        points = np.array([project(t) for part in rows for t in part.column("text").to_pylist()], np.int64).reshape(-1, AXES)
         place = hilbert(points) << TIE | ties.to_numpy(zero_copy_only=False)
         number = np.searchsorted(bounds, place, side="right").astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(place), pa.array(number)], ["place", "range"])

@@ -29,8 +29,8 @@ WORDS, SHAPES = 4096, 512
 TERMS = WORDS + SHAPES + 11
 #: Weight of the words beside the shapes.
 SEMANTIC = 1.0
-#: Words a worker remembers, and the longest of them; longer ones are looked at as a whole each time.
-MEMORY, LONGEST = 300_000, 64
+#: Words a worker remembers, a few megabytes, and the longest of them; longer ones are looked at as a whole each time.
+MEMORY, LONGEST = 1 << 15, 64
 _RUNS = re.compile(r"(.)\1+")
 
 

@@ -1,11 +1,18 @@
 import collections
 import hashlib
+import os
+import platform
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -534,3 +541,59 @@ def test_quality_without_voters(spark):
 
 def test_sha_of_spans_is_of_the_base():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_places_turn_a_few_texts_at_once_into_bytes():
+    """A batch of Spark's holds up to 64 MB of texts."""
+    made = pa.array([f"{i} ".encode() * 500 for i in range(5000)])
+    run = packing.placed(np.array([1 << 61])).func
+    tracemalloc.start()
+    try:
+        got = run(made, pa.array(range(5000)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    points = np.array([packing.project(t) for t in made.to_pylist()])
+    place = packing.hilbert(points) << packing.TIE | np.arange(5000)
+    assert got.field("place").to_pylist() == place.tolist()
+    assert got.field("range").to_pylist() == (place >= 1 << 61).astype(int).tolist()
+    assert peak < made.nbytes / 2
+
+
+FREED = """
+import re
+import pyarrow as pa
+from tallymark.llm.common import {name}
+
+def resident():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+
+kept, rows = [], [pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 3])], ["k"])]
+before = resident()
+for _ in {call}:
+    many = [bytes(2000) for _ in range(100_000)]
+    kept += many[::10_000]  # else the end of the heap is free, and goes by itself
+    del many
+print(resident() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup") or platform.libc_ver()[0] != "glibc", reason="memory is read and given back on Linux with glibc only")
+@pytest.mark.parametrize(("name", "call"), [("batches", "batches(rows)"), ("sorted_groups", "sorted_groups(rows, ['k'])")])
+def test_free_memory_goes_back_to_the_system(name, call):
+    """A worker that has done its task holds what it needs, not what it needed at most: 200 MB here."""
+    done = subprocess.run([sys.executable, "-c", FREED.format(name=name, call=call)], capture_output=True, text=True, timeout=60, cwd=Path(__file__).parents[2])
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 50
+
+
+def test_a_worker_remembers_a_few_megabytes_of_words():
+    codes = quality_votes.Codes()
+    tracemalloc.start()
+    try:
+        for i in range(100_000):
+            assert codes[f"word{i}"] == quality_votes.codes_of(f"word{i}")
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 8 << 20
